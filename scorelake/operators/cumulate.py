@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_BUCKET = 250_000
 MAX_BUCKETS = 10_000
 QUANTILE_ACCURACY = 100_000
 
@@ -36,7 +36,7 @@ def ordered_totals(rows: DataFrame, group: Sequence[str], value: str, weights: M
     ``<w>`` (this value), ``<w>_upto`` (this value and all before it) and ``<w>_total`` (the group).
 
     Equal values are merged before the shuffle, so a value shared by a third of all rows costs one
-    row per task. The number of buckets grows with the row count.
+    row per task. The number of buckets grows with the row count (``row_count``, an upper bound will do).
     """
     group = list(group)
     n = rows.count() if row_count is None else row_count

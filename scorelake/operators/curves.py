@@ -22,7 +22,7 @@ def threshold_table(predictions: DataFrame, score_digits: int | None = None,
     return ordered_totals(
         rows, ["model"], "score",
         {"pos": F.count(F.when(F.col("y") == 1, 1)), "neg": F.count(F.when(F.col("y") == 0, 1))},
-        descending=True, rows_per_bucket=rows_per_bucket)
+        descending=True, row_count=predictions.count(), rows_per_bucket=rows_per_bucket)
 
 
 def _d(name: str) -> Column:

@@ -323,7 +323,7 @@ def feature_summary(df: DataFrame, features: Sequence[str] | None = None, approx
         quartiles = [F.col("quartiles")[i].alias(q) for i, q in enumerate(QUARTILES)]
         return moments.select(*head, *quartiles, *tail, "unique_count")
     ordered = ordered_totals(_long_values(df, features), ["feature"], "value", {"n": F.count("*")},
-                             rows_per_bucket=rows_per_bucket)
+                             row_count=df.count() * len(features), rows_per_bucket=rows_per_bucket)
     ranks = ordered.groupBy("feature").agg(
         *[_interpolated(share).alias(q) for q, share in QUARTILES.items()], F.count("*").alias("unique_count"))
     return moments.join(ranks, "feature", "left").select(
