@@ -247,7 +247,7 @@ class KernelSVM(Estimator, HasFeaturesCol, HasLabelCol, HasSeed, DefaultParamsRe
                 return self._machine(rows, features)
 
             with ThreadPool(self.getOrDefault(self.parallelism)) as pool:
-                *partial, machine = pool.map(inheritable_thread_target(machine_without), [*range(folds), None])
+                *partial, machine = pool.map(inheritable_thread_target(dataset.sparkSession)(machine_without), [*range(folds), None])
             parts = [
                 margin.transform(m.transform(mapped.where(F.col("calibration_fold") == f))).select("margin", col(label))
                 for f, m in enumerate(partial)]

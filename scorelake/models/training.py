@@ -61,12 +61,12 @@ def assemble(df: DataFrame, id_col: str, target: str, features: Sequence[str], m
     return assembler.transform(inputs).select("row_id", "y", "features", *[col(k) for k in keep])
 
 
-def _run(jobs: Sequence, work, parallelism: int) -> list:
+def run_fits(spark: SparkSession, jobs: Sequence, work, parallelism: int) -> list:
     """Run independent fits from a few driver threads; Spark schedules their tasks side by side."""
     if parallelism <= 1:
         return [work(j) for j in jobs]
     with ThreadPool(min(parallelism, len(jobs))) as pool:
-        return pool.map(inheritable_thread_target(work), jobs)
+        return pool.map(inheritable_thread_target(spark)(work), jobs)
 
 
 def train_all(table: DataFrame, estimators: Mapping[str, Pipeline], parallelism: int = 2,
@@ -84,7 +84,7 @@ def train_all(table: DataFrame, estimators: Mapping[str, Pipeline], parallelism:
         except Exception as e:
             return name, None, f"{type(e).__name__}: {e}"[:500]
 
-    results = _run(list(estimators.items()), fit, parallelism)
+    results = run_fits(table.sparkSession, list(estimators.items()), fit, parallelism)
     return ({n: m for n, m, _ in results if m is not None},
             [(n, "trained" if m is not None else "failed", e) for n, m, e in results])
 
@@ -141,7 +141,7 @@ def cross_validate(table: DataFrame, estimators: Mapping[str, Pipeline], n_folds
         f, name = job
         return f, name, estimators[name].fit(table.where(F.col("fold") != f))
 
-    fitted = _run([(f, n) for f in range(n_folds) for n in estimators], fit, parallelism)
+    fitted = run_fits(table.sparkSession, [(f, n) for f in range(n_folds) for n in estimators], fit, parallelism)
     out = None
     for f in range(n_folds):
         models = {name: m for g, name, m in fitted if g == f}

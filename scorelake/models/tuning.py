@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake import config
-from scorelake.models.training import _run, build
+from scorelake.models.training import build, run_fits
 from scorelake.session import scratch_root
 
 
@@ -60,7 +60,7 @@ def search(table: DataFrame, name: str, candidates: Sequence[dict], n_folds: int
 
     jobs = [(c, f) for c in range(len(candidates)) for f in range(n_folds)]
     found: dict[int, list[float]] = {}
-    for c, accuracy in _run(jobs, score, parallelism):
+    for c, accuracy in run_fits(table.sparkSession, jobs, score, parallelism):
         found.setdefault(c, []).append(accuracy)
     scores = []
     for c, values in found.items():

@@ -40,63 +40,50 @@ def cells(predictions: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     )
 
 
-def _n(name: str) -> Column:
-    return F.col(name).cast("double")
-
-
-def _ratio(top: Column, bottom: Column) -> Column:
-    """0 where undefined."""
-    return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
-
-
-def _precision(c: int) -> Column:
-    return _ratio(_n("tp"), _n("tp") + _n("fp")) if c else _ratio(_n("tn"), _n("tn") + _n("fn"))
-
-
-def _recall(c: int) -> Column:
-    return _ratio(_n("tp"), _n("tp") + _n("fn")) if c else _ratio(_n("tn"), _n("tn") + _n("fp"))
-
-
-def _f1(c: int) -> Column:
-    hit = _n("tp") if c else _n("tn")
-    return _ratio(2 * hit, 2 * hit + _n("fp") + _n("fn"))
+# Per class: precision, recall, F1, support; 0 where undefined. One class' hits are the other's rejections.
+_CLASS_COLUMNS = {
+    "precision_0": "if(tn + fn > 0, tn / (tn + fn), 0D)",
+    "precision_1": "if(tp + fp > 0, tp / (tp + fp), 0D)",
+    "recall_0": "if(tn + fp > 0, tn / (tn + fp), 0D)",
+    "recall_1": "if(tp + fn > 0, tp / (tp + fn), 0D)",
+    "f1_0": "if(tn + fn + fp > 0, 2 * tn / (2 * tn + fn + fp), 0D)",
+    "f1_1": "if(tp + fn + fp > 0, 2 * tp / (2 * tp + fn + fp), 0D)",
+    "support_0": "tn + fp",
+    "support_1": "tp + fn",
+}
 
 
-def _support(c: int) -> Column:
-    return (F.col("tp") + F.col("fn")) if c else (F.col("tn") + F.col("fp"))
+def _weighted(metric: str) -> str:
+    return f"({metric}_0 * support_0 + {metric}_1 * support_1) / valid"
 
 
-def _weighted(metric) -> Column:
-    total = _support(0) + _support(1)
-    return _ratio(metric(0) * _support(0) + metric(1) * _support(1), total.cast("double"))
+# Only evaluated for models with a valid row. Square roots keep the products of counts within doubles.
+_EXPRESSIONS = {
+    "accuracy": "(tn + tp) / valid",
+    "precision_weighted": _weighted("precision"),
+    "recall_weighted": _weighted("recall"),
+    "f1_weighted": _weighted("f1"),
+    "precision_positive": "precision_1",
+    "recall_positive": "recall_1",
+    "f1_positive": "f1_1",
+    "mcc": "if((tp + fp) > 0 and (tp + fn) > 0 and (tn + fp) > 0 and (tn + fn) > 0, "
+           "(double(tp) * tn - double(fp) * fn) / (sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn)), 0D)",
+    "specificity": "recall_0",
+    "sensitivity": "recall_1",
+}
 
 
-def _mcc() -> Column:
-    """Products as doubles: they overflow long integers."""
-    tn, fp, fn, tp = (_n(c) for c in ("tn", "fp", "fn", "tp"))
-    bottom = F.sqrt(tp + fp) * F.sqrt(tp + fn) * F.sqrt(tn + fp) * F.sqrt(tn + fn)
-    return _ratio(tp * tn - fp * fn, bottom)
+def _with_classes(counted: DataFrame) -> DataFrame:
+    return counted.selectExpr("*", *[f"{e} as {c}" for c, e in _CLASS_COLUMNS.items()])
 
 
-_ACCURACY = lambda: _ratio(_n("tn") + _n("tp"), _n("valid"))
-_EXPRESSIONS = {
-    "accuracy": _ACCURACY,
-    "precision_weighted": lambda: _weighted(_precision),
-    "recall_weighted": lambda: _weighted(_recall),
-    "f1_weighted": lambda: _weighted(_f1),
-    "precision_positive": lambda: _precision(1),
-    "recall_positive": lambda: _recall(1),
-    "f1_positive": lambda: _f1(1),
-    "mcc": _mcc,
-    "specificity": lambda: _recall(0),
-    "sensitivity": lambda: _recall(1),
-}
+def _guarded(name: str) -> str:
+    return f"if(valid > 0, {_EXPRESSIONS[name]}, null) as {name}"
 
 
 def from_cells(counted: DataFrame, metrics: Sequence[str], by: Sequence[str] = ("model",)) -> DataFrame:
     """Named metrics as columns; null for a model without a usable row."""
-    return counted.select(
-        *by, *[F.when(F.col("valid") > 0, _EXPRESSIONS[m]()).alias(m) for m in metrics])
+    return _with_classes(counted).selectExpr(*by, *[_guarded(m) for m in metrics])
 
 
 def hard_metrics(predictions: DataFrame) -> DataFrame:
@@ -125,10 +112,8 @@ def success_rate(predictions: DataFrame) -> DataFrame:
 
 
 def _matrix_rows(counted: DataFrame) -> DataFrame:
-    entries = [F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"), F.col(name).alias("n"),
-                        _support(a).alias("n_actual"))
-               for name, a, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))]
-    return counted.select("model", F.explode(F.array(*entries)).alias("e")).select("model", "e.*")
+    return counted.selectExpr("model", """stack(4, 0, 0, tn, tn + fp, 0, 1, fp, tn + fp, 1, 0, fn, tp + fn, 1, 1, tp, tp + fn)
+        as (actual, predicted, n, n_actual)""")
 
 
 def confusion_matrix(predictions: DataFrame) -> DataFrame:
@@ -138,9 +123,8 @@ def confusion_matrix(predictions: DataFrame) -> DataFrame:
 
 def confusion_normalized(predictions: DataFrame) -> DataFrame:
     """Confusion matrix divided by the actual class' rows; null when the class does not occur."""
-    return _matrix_rows(cells(predictions)).select(
-        "model", "actual", "predicted",
-        F.when(F.col("n_actual") > 0, F.col("n") / F.col("n_actual")).alias("share"))
+    return _matrix_rows(cells(predictions)).selectExpr(
+        "model", "actual", "predicted", "if(n_actual > 0, n / n_actual, null) as share")
 
 
 def confusion_cells(predictions: DataFrame) -> DataFrame:
@@ -149,30 +133,20 @@ def confusion_cells(predictions: DataFrame) -> DataFrame:
 
 def per_class_metrics(predictions: DataFrame) -> DataFrame:
     """(model, class_value, precision, recall, f1, support)."""
-    rows = [F.struct(F.lit(c).alias("class_value"), _precision(c).alias("precision"), _recall(c).alias("recall"),
-                     _f1(c).alias("f1"), _support(c).alias("support")) for c in (0, 1)]
-    return (cells(predictions).where("valid > 0")
-            .select("model", F.explode(F.array(*rows)).alias("r")).select("model", "r.*"))
+    return _with_classes(cells(predictions).where("valid > 0")).selectExpr("model", """stack(2,
+        0, precision_0, recall_0, f1_0, support_0,
+        1, precision_1, recall_1, f1_1, support_1) as (class_value, precision, recall, f1, support)""")
 
 
 def classification_report(predictions: DataFrame) -> DataFrame:
     """Per model five rows: class 0, class 1, accuracy (in the f1 column), macro and weighted average."""
-    def row(label: str, p: Column, r: Column, f: Column, n: Column) -> Column:
-        return F.struct(F.lit(label).alias("label"), p.cast("double").alias("precision"),
-                        r.cast("double").alias("recall"), f.alias("f1"), n.alias("support"))
-
-    def macro(metric) -> Column:
-        return (metric(0) + metric(1)) / 2
-
-    none = F.lit(None)
-    rows = [row(str(c), _precision(c), _recall(c), _f1(c), _support(c)) for c in (0, 1)]
-    rows += [
-        row("accuracy", none, none, _ACCURACY(), F.col("valid")),
-        row("macro avg", macro(_precision), macro(_recall), macro(_f1), F.col("valid")),
-        row("weighted avg", _weighted(_precision), _weighted(_recall), _weighted(_f1), F.col("valid")),
-    ]
-    return (cells(predictions).where("valid > 0")
-            .select("model", F.explode(F.array(*rows)).alias("r")).select("model", "r.*"))
+    return _with_classes(cells(predictions).where("valid > 0")).selectExpr("model", f"""stack(5,
+        '0', precision_0, recall_0, f1_0, support_0,
+        '1', precision_1, recall_1, f1_1, support_1,
+        'accuracy', double(null), double(null), {_EXPRESSIONS["accuracy"]}, valid,
+        'macro avg', (precision_0 + precision_1) / 2, (recall_0 + recall_1) / 2, (f1_0 + f1_1) / 2, valid,
+        'weighted avg', {_weighted("precision")}, {_weighted("recall")}, {_weighted("f1")}, valid
+        ) as (label, precision, recall, f1, support)""")
 
 
 RECORD_METRICS = [*HARD_METRICS, *POSITIVE_METRICS, "mcc", "specificity", "sensitivity"]
@@ -184,11 +158,9 @@ def model_metrics(predictions: DataFrame, areas: bool = True) -> DataFrame:
     Models without a usable row appear with null metrics. ``areas=False`` leaves the two areas null and
     saves the pass over the scores (models that give labels only).
     """
-    counted = cells(predictions)
-    record = counted.select(
-        "model", "attempted", "valid", (F.col("valid") / F.col("attempted")).alias("success_rate"),
-        "tn", "fp", "fn", "tp",
-        *[F.when(F.col("valid") > 0, _EXPRESSIONS[m]()).alias(m) for m in RECORD_METRICS])
+    record = _with_classes(cells(predictions)).selectExpr(
+        "model", "attempted", "valid", "valid / attempted as success_rate", "tn", "fp", "fn", "tp",
+        *[_guarded(m) for m in RECORD_METRICS])
     if not areas:
         null = F.lit(None).cast("double")
         return record.withColumns({"auc_roc": null, "auc_pr": null})
