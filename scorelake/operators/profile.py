@@ -277,8 +277,8 @@ QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
 def _long_values(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    pairs = [F.struct(F.lit(f).alias("feature"), value_or_null(df, f).cast("double").alias("value"))
-             for f in features]
+    pairs = [F.struct(F.lit(i).alias("feature_no"), value_or_null(df, f).cast("double").alias("value"))
+             for i, f in enumerate(features)]
     return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("value is not null")
 
 
@@ -312,7 +312,7 @@ def feature_summary(df: DataFrame, features: Sequence[str] | None = None, approx
         if approximate:
             stats |= {"quartiles": F.percentile_approx(v, list(QUARTILES.values())),
                       "unique_count": F.approx_count_distinct(v)}
-        simple.append(F.struct(*[F.col(f"{s}_{i}").alias(s) for s in stats], F.lit(f).alias("feature")))
+        simple.append(F.struct(*[F.col(f"{s}_{i}").alias(s) for s in stats], F.lit(f).alias("feature"), F.lit(i).alias("feature_no")))
         extra += [c.alias(f"{s}_{i}") for s, c in stats.items()]
     moments = df.agg(*extra).select(F.explode(F.array(*simple)).alias("s")).select("s.*")
     missing = F.col("total_rows") - F.col("value_count")
@@ -322,11 +322,11 @@ def feature_summary(df: DataFrame, features: Sequence[str] | None = None, approx
     if approximate:
         quartiles = [F.col("quartiles")[i].alias(q) for i, q in enumerate(QUARTILES)]
         return moments.select(*head, *quartiles, *tail, "unique_count")
-    ordered = ordered_totals(_long_values(df, features), ["feature"], "value", {"n": F.count("*")},
+    ordered = ordered_totals(_long_values(df, features), ["feature_no"], "value", {"n": F.count("*")},
                              row_count=df.count() * len(features), rows_per_bucket=rows_per_bucket)
-    ranks = ordered.groupBy("feature").agg(
+    ranks = ordered.groupBy("feature_no").agg(
         *[_interpolated(share).alias(q) for q, share in QUARTILES.items()], F.count("*").alias("unique_count"))
-    return moments.join(ranks, "feature", "left").select(
+    return moments.join(ranks, "feature_no", "left").select(
         *head, *QUARTILES, *tail, F.coalesce("unique_count", F.lit(0)).alias("unique_count"))
 
 
