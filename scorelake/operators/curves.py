@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,32 +70,31 @@ def auc_pr(predictions: DataFrame, **options) -> DataFrame:
     return areas(predictions, **options).select("model", "auc_pr")
 
 
-def _end_point(table: DataFrame, kind: str, x: float, y: float) -> DataFrame:
-    return table.select("model").distinct().select(
-        "model", F.lit(kind).alias("kind"), F.lit(None).cast("double").alias("threshold"),
-        F.lit(x).alias("x"), F.lit(y).alias("y"))
-
+def _point(kind: str, threshold: Column, x: Column, y: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), threshold.cast("double").alias("threshold"),
+                    x.cast("double").alias("x"), y.cast("double").alias("y"))
 
-def _curve(table: DataFrame, models: DataFrame, kind: str, x: Column, y: Column,
-           end: tuple[float, float]) -> DataFrame:
-    points = table.select("model", F.lit(kind).alias("kind"), F.col("score").alias("threshold"),
-                          x.alias("x"), y.alias("y"))
-    return points.unionByName(_end_point(models, kind, *end))
 
+def curve_points(table: DataFrame, kinds: Sequence[str] = ("roc", "pr")) -> DataFrame:
+    """(model, kind, threshold, x, y) of the wanted curves from a :func:`threshold_table`, in one pass.
 
-def _scored(predictions: DataFrame) -> DataFrame:
-    return predictions.where("y is not null and score is not null and not isnan(score)")
+    ``roc``: x = false positive rate, y = true positive rate; ``pr``: x = recall, y = precision. The row of
+    the highest score also yields the end point without a threshold: (0, 0), and recall 0, precision 1.
+    """
+    tpr, fpr = _share(_d("pos_upto"), "pos_total"), _share(_d("neg_upto"), "neg_total")
+    precision = _d("pos_upto") / (_d("pos_upto") + _d("neg_upto"))
+    score, none = F.col("score"), F.lit(None)
+    points = {"roc": _point("roc", score, fpr, tpr), "pr": _point("pr", score, tpr, precision)}
+    ends = {"roc": _point("roc", none, F.lit(0.0), F.lit(0.0)), "pr": _point("pr", none, F.lit(0.0), F.lit(1.0))}
+    here, first = [points[k] for k in kinds], [ends[k] for k in kinds]
+    highest = (F.col("pos_upto") == F.col("pos")) & (F.col("neg_upto") == F.col("neg"))
+    rows = F.when(highest, F.array(*here, *first)).otherwise(F.array(*here))
+    return table.select("model", F.explode(rows).alias("p")).select("model", "p.*")
 
 
 def roc_curve(predictions: DataFrame, **options) -> DataFrame:
-    """(model, kind, threshold, x=false positive rate, y=true positive rate), start (0, 0) included."""
-    table = threshold_table(predictions, **options)
-    return _curve(table, _scored(predictions), "roc", _share(_d("neg_upto"), "neg_total"),
-                  _share(_d("pos_upto"), "pos_total"), (0.0, 0.0))
+    return curve_points(threshold_table(predictions, **options), ["roc"])
 
 
 def pr_curve(predictions: DataFrame, **options) -> DataFrame:
-    """(model, kind, threshold, x=recall, y=precision), end point (recall 0, precision 1) included."""
-    table = threshold_table(predictions, **options)
-    precision = _d("pos_upto") / (_d("pos_upto") + _d("neg_upto"))
-    return _curve(table, _scored(predictions), "pr", _share(_d("pos_upto"), "pos_total"), precision, (0.0, 1.0))
+    return curve_points(threshold_table(predictions, **options), ["pr"])

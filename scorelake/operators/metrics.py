@@ -152,11 +152,11 @@ def classification_report(predictions: DataFrame) -> DataFrame:
 RECORD_METRICS = [*HARD_METRICS, *POSITIVE_METRICS, "mcc", "specificity", "sensitivity"]
 
 
-def model_metrics(predictions: DataFrame, areas: bool = True) -> DataFrame:
+def model_metrics(predictions: DataFrame, areas: bool = True, thresholds: DataFrame | None = None) -> DataFrame:
     """One record per model: counts, success rate, both metric families, areas under the curves.
 
     Models without a usable row appear with null metrics. ``areas=False`` leaves the two areas null and
-    saves the pass over the scores (models that give labels only).
+    saves the pass over the scores (models that give labels only); a stored ``thresholds`` table is used as is.
     """
     record = _with_classes(cells(predictions)).selectExpr(
         "model", "attempted", "valid", "valid / attempted as success_rate", "tn", "fp", "fn", "tp",
@@ -164,4 +164,5 @@ def model_metrics(predictions: DataFrame, areas: bool = True) -> DataFrame:
     if not areas:
         null = F.lit(None).cast("double")
         return record.withColumns({"auc_roc": null, "auc_pr": null})
-    return record.join(curves.areas(predictions), "model", "left")
+    found = curves.areas(predictions) if thresholds is None else curves.areas_of(thresholds)
+    return record.join(found, "model", "left")

@@ -128,10 +128,21 @@ def common_digits(rows: DataFrame) -> int:
     return len(os.path.commonprefix([lo, hi])) if lo is not None else 0
 
 
-def block_index(group: Column, key: Column, cuts: Mapping[Any, Sequence[str]]) -> Column:
-    """Number of cuts of the row's group that lie below its key."""
+def block_index(group: Column, cuts: Mapping[Any, Sequence[str]], above: Callable[[str], Column]) -> Column:
+    """Number of cuts of the row's group that it lies above; ``above`` compares the row with one cut."""
+    def passed(cut: str) -> Column:
+        return F.lit(1) if cut == BEFORE_ALL else F.lit(0) if cut == AFTER_ALL else above(cut).cast("int")
+
     out: Any = F
     for g, ks in cuts.items():
-        index = reduce(lambda a, b: a + b, [(key > F.lit(k)).cast("int") for k in ks], F.lit(0))
-        out = out.when(group == F.lit(g), index)
+        out = out.when(group == F.lit(g), reduce(lambda a, b: a + b, map(passed, ks), F.lit(0)))
     return out.otherwise(F.lit(None).cast("int")) if cuts else F.lit(None).cast("int")
+
+
+def above_key(key: Column) -> Callable[[str], Column]:
+    return lambda cut: key > F.lit(cut)
+
+
+def above_id(id_col: Column) -> Callable[[str], Column]:
+    """Compares the integer itself with the id that a cut of :func:`id_key` stands for."""
+    return lambda cut: id_col > F.lit(int(cut, 16) - 2**63).cast("bigint")

@@ -8,7 +8,7 @@ ranks, so sizes are exact and membership depends on nothing but seed and ids. Th
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from scorelake import config
 from scorelake.functions.missing import col, value_or_null
 from scorelake.operators.ordering import (
-    RANKED_ROWS, block_index, common_digits, hash_key, id_key, keys_at_ranks,
+    RANKED_ROWS, above_id, above_key, block_index, common_digits, hash_key, id_key, keys_at_ranks,
 )
 
 
@@ -78,7 +78,7 @@ def random_split(df: DataFrame, id_col: str, test_size: float = config.TEST_SIZE
     key = hash_key(col(id_col), seed)
     _, cuts = keys_at_ranks(_keyed(df, key, None), lambda c: {g: [q] for g, q in split_quotas(c, test_size).items()},
                             ranked_rows=ranked_rows)
-    index = block_index(F.lit(0), key, cuts)
+    index = block_index(F.lit(0), cuts, above_key(key))
     return df.withColumn("split", F.when(index == 0, F.lit("train")).otherwise(F.lit("test")))
 
 
@@ -99,7 +99,7 @@ def stratified_split(df: DataFrame, id_col: str, target: str, test_size: float =
     )
     if counts and not cuts:
         return random_split(df, id_col, test_size, seed, ranked_rows)
-    index = block_index(col(target), key, cuts)
+    index = block_index(col(target), cuts, above_key(key))
     return df.withColumn("split", F.when(index == 0, F.lit("train")).otherwise(F.lit("test")))
 
 
@@ -109,7 +109,7 @@ def random_sample(df: DataFrame, id_col: str, n: int, seed: int = config.RANDOM_
     key = hash_key(col(id_col), seed)
     _, cuts = keys_at_ranks(_keyed(df, key, None), lambda c: {g: [min(n, rows)] for g, rows in c.items()},
                             ranked_rows=ranked_rows)
-    return df.where(block_index(F.lit(0), key, cuts) == 0)
+    return df.where(block_index(F.lit(0), cuts, above_key(key)) == 0)
 
 
 def stratified_sample(df: DataFrame, id_col: str, target: str | None, n: int = config.SAMPLE_SIZE,
@@ -126,7 +126,7 @@ def stratified_sample(df: DataFrame, id_col: str, target: str | None, n: int = c
         _keyed(df, key, target), lambda c: {g: [q] for g, q in sample_quotas(c, rows, n).items()},
         ranked_rows=ranked_rows,
     )
-    return df.where(block_index(col(target), key, cuts) == 0)
+    return df.where(block_index(col(target), cuts, above_key(key)) == 0)
 
 
 def with_shuffle_key(df: DataFrame, id_col: str, seed: int = config.RANDOM_STATE) -> DataFrame:
@@ -134,7 +134,8 @@ def with_shuffle_key(df: DataFrame, id_col: str, seed: int = config.RANDOM_STATE
     return df.withColumn("shuffle_key", hash_key(col(id_col), seed))
 
 
-def _folds(df: DataFrame, target: str, n_folds: int, key: Column, skip: bool, ranked_rows: int) -> DataFrame:
+def _folds(df: DataFrame, target: str, n_folds: int, key: Column, above: Callable[[str], Column], skip: bool,
+           ranked_rows: int) -> DataFrame:
     if n_folds < 2:
         raise ValueError("at least two folds are needed")
     keyed = _keyed(df, key, target)
@@ -145,19 +146,20 @@ def _folds(df: DataFrame, target: str, n_folds: int, key: Column, skip: bool, ra
         return fold_ends(counts, n_folds)
 
     _, cuts = keys_at_ranks(keyed, ranks, skip_digits=common_digits(keyed) if skip else 0, ranked_rows=ranked_rows)
-    return df.withColumn("fold", block_index(col(target), key, cuts))
+    return df.withColumn("fold", block_index(col(target), cuts, above))
 
 
 def stratified_folds(df: DataFrame, id_col: str, target: str, n_folds: int = 5,
                      seed: int = config.RANDOM_STATE, ranked_rows: int = RANKED_ROWS) -> DataFrame:
     """Add ``fold`` (0..n-1): shuffled stratified folds."""
-    return _folds(df, target, n_folds, hash_key(col(id_col), seed), False, ranked_rows)
+    key = hash_key(col(id_col), seed)
+    return _folds(df, target, n_folds, key, above_key(key), False, ranked_rows)
 
 
 def ordered_folds(df: DataFrame, id_col: str, target: str, n_folds: int = 5,
                   ranked_rows: int = RANKED_ROWS) -> DataFrame:
     """Add ``fold`` (0..n-1): stratified folds of consecutive rows in the order of an integer id."""
-    return _folds(df, target, n_folds, id_key(col(id_col)), True, ranked_rows)
+    return _folds(df, target, n_folds, id_key(col(id_col)), above_id(col(id_col)), True, ranked_rows)
 
 
 def split_summary(df: DataFrame, target: str, n_features: int) -> DataFrame:

@@ -43,13 +43,16 @@ def prepare(spark: SparkSession, source: DataFrame, out: str, features: Sequence
 
 
 def evaluate(spark: SparkSession, predictions: DataFrame, out: str, names: Sequence[str] = compare.RANKED_METRICS) -> DataFrame:
-    """Write metrics, rankings and curves of stored predictions; returns the metrics."""
-    record = metrics.model_metrics(predictions)
+    """Write metrics, rankings and curves of stored predictions; returns the metrics.
+
+    The threshold table, the only step that shuffles scores, is stored and serves areas and curves.
+    """
+    tables.write_table(curves.threshold_table(predictions), f"{out}/thresholds")
+    thresholds = spark.read.parquet(f"{out}/thresholds")
+    record = metrics.model_metrics(predictions, thresholds=thresholds)
     tables.write_json(record, f"{out}/metrics")
     record = tables.read_json(spark, f"{out}/metrics", record.schema)
-    both = curves.roc_curve(predictions).unionByName(curves.pr_curve(predictions))
-    tables.write_json(compare.metric_rankings(record, names), f"{out}/rankings")
-    tables.write_table(both, f"{out}/curves", "parquet", partition_by=["model", "kind"])
+    tables.write_evaluation(out, None, compare.metric_rankings(record, names), curves.curve_points(thresholds))
     return record
 
 

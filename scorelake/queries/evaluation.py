@@ -217,7 +217,7 @@ def metrics_sink(spark, sf_dir):
     record = metrics.model_metrics(rows)
     root = scratch_path(spark, "evaluation")
     tables.write_evaluation(root, record, compare.metric_rankings(record),
-                            curves.roc_curve(rows).unionByName(curves.pr_curve(rows)))
+                            curves.curve_points(curves.threshold_table(rows)))
 
     def count(df, name):
         return df.agg(F.count("*").alias("total_rows")).select(F.lit(name).alias("artefact"), "total_rows")

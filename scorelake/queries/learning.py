@@ -26,13 +26,21 @@ _tables: dict[tuple, DataFrame] = {}
 _models: dict[tuple, object] = {}
 
 
+ROWS_PER_PARTITION = 10_000
+
+
+def _partitions(df: DataFrame) -> int:
+    """Enough pieces to keep the cores busy, not so many that scheduling outweighs the work."""
+    return max(1, min(df.sparkSession.sparkContext.defaultParallelism, df.count() // ROWS_PER_PARTITION))
+
+
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assembled rows with their split, in memory for the fits."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _tables:
         split = sampling.stratified_split(inputs.planted(spark, sf_dir), "row_id", "y")
-        _tables[key] = training.assemble(split, "row_id", "y", FEATURES, keep=["split"],
-                                         partitions=spark.sparkContext.defaultParallelism).persist()
+        _tables[key] = training.assemble(
+            split, "row_id", "y", FEATURES, keep=["split"], partitions=_partitions(split)).persist()
     return _tables[key]
 
 
@@ -129,8 +137,8 @@ def model_roundtrip(spark, sf_dir):
 
 def _folds(spark, sf_dir, n):
     folded = sampling.ordered_folds(inputs.planted(spark, sf_dir), "row_id", "y", n)
-    return training.assemble(folded, "row_id", "y", FEATURES, keep=["fold"],
-                             partitions=spark.sparkContext.defaultParallelism).persist()
+    return training.assemble(
+        folded, "row_id", "y", FEATURES, keep=["fold"], partitions=_partitions(folded)).persist()
 
 
 @query("cross_validate")

@@ -108,9 +108,12 @@ def write_importance(importance: DataFrame, path: str, fmt: str = "csv") -> None
     write_table(importance, path, fmt, partition_by=["model"])
 
 
-def write_evaluation(root: str, metrics: DataFrame, rankings: DataFrame, curves: DataFrame | None = None) -> None:
-    """The three artefacts of an evaluation below ``root``: metrics, rankings, curves."""
-    write_json(metrics, f"{root}/metrics")
-    write_json(rankings, f"{root}/rankings")
+def write_evaluation(root: str, metrics: DataFrame | None = None, rankings: DataFrame | None = None,
+                     curves: DataFrame | None = None) -> None:
+    """The artefacts of an evaluation below ``root``: metrics, rankings, curves; those given."""
+    if metrics is not None:
+        write_json(metrics, f"{root}/metrics")
+    if rankings is not None:
+        write_json(rankings, f"{root}/rankings")
     if curves is not None:
         write_table(curves, f"{root}/curves", "parquet", partition_by=["model", "kind"])
