@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 10_000
+MAX_BUCKETS = 20_000
 LOOKED_AT = 100     # rows per bucket that decide where to cut
 
 
@@ -24,7 +24,7 @@ def _cut_points(rows: DataFrame, value: str, buckets: int, n: int) -> list[float
     """Approximate quantiles. They decide how evenly tasks are loaded, not what comes out."""
     shares = [i / buckets for i in range(1, buckets)]
     seen = rows.sample(min(1.0, LOOKED_AT * buckets / n), seed=1)
-    found = seen.agg(F.percentile_approx(value, shares, 10 * buckets).alias("q")).first()["q"] or []
+    found = seen.agg(F.percentile_approx(value, shares, 5 * buckets).alias("q")).first()["q"] or []
     return sorted(set(float(v) for v in found if not math.isinf(v)))
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 PREFIX_STEP = 3            # hexadecimal digits per pass: 4096 prefixes
 RANKED_ROWS = 200_000      # a prefix with at most this many rows is ranked directly
 MAX_CLASSES = 100
+NOT_UNIQUE = "row ids are not unique: rows on both sides of a cut share their key"
 BEFORE_ALL, AFTER_ALL = "", "g"   # below and above every hexadecimal key
 
 
@@ -67,8 +68,8 @@ def keys_at_ranks(rows: DataFrame, wanted: Callable[[dict[Any, int]], Mapping[An
                   ) -> tuple[dict[Any, int], dict[Any, list[str]]]:
     """Row count per group, and the key at each wanted rank.
 
-    ``rows`` has columns ``g`` (group, not null) and ``k`` (hexadecimal key, unique per row);
-    ``wanted`` turns the counts into ranks per group. Rank 0 gives a key below all, a rank of at
+    ``rows`` has columns ``g`` (group) and ``k`` (hexadecimal key, unique per row); ``wanted`` turns the
+    counts, those of rows without a group included, into ranks for the groups of interest. Rank 0 gives a key below all, a rank of at
     least the group's size one above all.
     """
     digits = skip_digits + PREFIX_STEP
@@ -93,22 +94,26 @@ def keys_at_ranks(rows: DataFrame, wanted: Callable[[dict[Any, int]], Mapping[An
         digits += PREFIX_STEP
 
     found: dict[tuple[Any, str, int], str] = {}
-    if open_:
-        places = [(g, p) for (g, _), (p, _, _) in open_.items()]
-        place = reduce(
-            lambda c, p: c.when(F.col("k").startswith(p), F.lit(p)),
-            sorted({p for _, p in places}, key=lambda p: (-len(p), p)), F,
-        )
-        ranked = rows.where(_within(places)).withColumn("p", place).withColumn(
-            "r", F.row_number().over(Window.partitionBy("g", "p").orderBy("k"))
-        ).withColumn("next_k", F.lead("k").over(Window.partitionBy("g", "p").orderBy("k")))
+    for (g, _), (p, rank, n) in open_.items():
+        if n > ranked_rows:     # a whole key shared by that many rows: nothing left to rank
+            if rank < n:
+                raise ValueError(NOT_UNIQUE)
+            found[g, p, rank] = p
+    places = [(g, p) for (g, _), (p, rank, _) in open_.items() if (g, p, rank) not in found]
+    if places:
+        place: Any = F      # per group: one group may have been looked at more closely than another
+        for g, p in sorted(set(places), key=str):
+            place = place.when(_within([(g, p)]), F.lit(p))
+        by_key = Window.partitionBy("g", "p").orderBy("k")
+        ranked = rows.where(_within(places)).withColumn("p", place).select(
+            "*", F.row_number().over(by_key).alias("r"), F.lead("k").over(by_key).alias("next_k"))
         hits = reduce(lambda a, b: a | b, [
             (F.col("g") == F.lit(g)) & (F.col("p") == p) & (F.col("r") == rank)
-            for (g, _), (p, rank, _) in open_.items()
+            for (g, _), (p, rank, _) in open_.items() if (g, p, rank) not in found
         ])
         for row in ranked.where(hits).collect():
             if row["k"] == row["next_k"]:
-                raise ValueError("row ids are not unique: two rows share the key at a cut")
+                raise ValueError(NOT_UNIQUE)
             found[row["g"], row["p"], row["r"]] = row["k"]
 
     def key_for(g: Any, r: int) -> str:

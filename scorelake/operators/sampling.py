@@ -23,7 +23,11 @@ from scorelake.operators.ordering import (
 
 def _keyed(df: DataFrame, key: Column, target: str | None) -> DataFrame:
     group = value_or_null(df, target) if target else F.lit(0)
-    return df.select(group.alias("g"), key.alias("k")).where("g is not null")
+    return df.select(group.alias("g"), key.alias("k"))
+
+
+def _known(counts: Mapping[Any, int]) -> dict[Any, int]:
+    return {c: n for c, n in counts.items() if c is not None}
 
 
 def split_quotas(counts: Mapping[Any, int], test_size: float) -> dict[Any, int]:
@@ -89,14 +93,15 @@ def stratified_split(df: DataFrame, id_col: str, target: str, test_size: float =
     A class with a single row makes stratification impossible: the split is then a plain random one.
     Rows without a class must be removed first (:func:`scorelake.operators.profile.clean_rows`).
     """
-    if df.where(value_or_null(df, target).isNull()).limit(1).count():
-        raise ValueError(f"{target} has missing values; clean the table first")
+    def ranks(counts: dict[Any, int]) -> dict[Any, list[int]]:
+        if None in counts:
+            raise ValueError(f"{target} has missing values; clean the table first")
+        if counts and min(counts.values()) < 2:
+            return {}
+        return {c: [q] for c, q in split_quotas(counts, test_size).items()}
+
     key = hash_key(col(id_col), seed)
-    counts, cuts = keys_at_ranks(
-        _keyed(df, key, target),
-        lambda c: {} if c and min(c.values()) < 2 else {g: [q] for g, q in split_quotas(c, test_size).items()},
-        ranked_rows=ranked_rows,
-    )
+    counts, cuts = keys_at_ranks(_keyed(df, key, target), ranks, ranked_rows=ranked_rows)
     if counts and not cuts:
         return random_split(df, id_col, test_size, seed, ranked_rows)
     index = block_index(col(target), cuts, above_key(key))
@@ -120,12 +125,11 @@ def stratified_sample(df: DataFrame, id_col: str, target: str | None, n: int = c
     """
     if target is None or target not in df.columns:
         return random_sample(df, id_col, n, seed, ranked_rows)
-    rows = df.count()
     key = hash_key(col(id_col), seed)
     _, cuts = keys_at_ranks(
-        _keyed(df, key, target), lambda c: {g: [q] for g, q in sample_quotas(c, rows, n).items()},
-        ranked_rows=ranked_rows,
-    )
+        _keyed(df, key, target),
+        lambda c: {g: [q] for g, q in sample_quotas(_known(c), sum(c.values()), n).items()},
+        ranked_rows=ranked_rows)
     return df.where(block_index(col(target), cuts, above_key(key)) == 0)
 
 
@@ -141,6 +145,7 @@ def _folds(df: DataFrame, target: str, n_folds: int, key: Column, above: Callabl
     keyed = _keyed(df, key, target)
 
     def ranks(counts: dict[Any, int]) -> dict[Any, list[int]]:
+        counts = _known(counts)
         if counts and max(counts.values()) < n_folds:
             raise ValueError(f"no class has {n_folds} rows")
         return fold_ends(counts, n_folds)

@@ -300,7 +300,7 @@ def resume_scoring(spark, sf_dir):
     _responses(spark, sf_dir, ["alpha"]).write.mode("append").parquet(path)
     pending = scoring.prompts(inputs.features(spark, sf_dir), "row_id", "y", FEATURES, ["alpha", "beta"])
     left = scoring.unscored(pending, spark.read.parquet(path))
-    scoring.score(left, threshold_scorer()).write.mode("append").parquet(path)
+    scoring.score(left, threshold_scorer(), partitions=spark.sparkContext.defaultParallelism).write.mode("append").parquet(path)
     return spark.read.parquet(path).select("model", "row_id", "attempts", "pred")
 
 

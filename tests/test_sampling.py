@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scorelake.operators import sampling
-from scorelake.operators.ordering import id_key
+from scorelake.operators.ordering import id_key, keys_at_ranks
 
 
 def table(spark, n, positive, partitions=4):
@@ -72,6 +72,16 @@ def test_dominant_class(spark):
         (0, "train"): 1395, (0, "test"): 598, (1, "train"): 5, (1, "test"): 2}
 
 
+def test_groups_looked_at_to_different_depth(spark):
+    """One class is refined to longer prefixes, the other is not, and both share leading digits."""
+    keys = ["aaa" + f"{i:013x}" for i in range(40)]
+    rows = [("big", k) for k in keys] + [("small", k) for k in keys[::10]]
+    df = spark.createDataFrame(rows, "g string, k string")
+    counts, cuts = keys_at_ranks(df, lambda c: {"big": [1, 17, 39], "small": [1, 3, 4]}, ranked_rows=10)
+    assert counts == {"big": 40, "small": 4}
+    assert cuts == {"big": [keys[0], keys[16], keys[38]], "small": [keys[0], keys[20], "g"]}
+
+
 def test_single_row_class_falls_back_to_random(spark):
     df = sampling.stratified_split(table(spark, 10, "id = 3"), "row_id", "y")
     assert {r.split: r["count"] for r in df.groupBy("split").count().collect()} == {"train": 7, "test": 3}
@@ -85,8 +95,18 @@ def test_split_needs_a_target_everywhere(spark):
 
 def test_repeated_ids_are_noticed(spark):
     df = table(spark, 10, "id % 2 = 0").withColumn("row_id", F.lit(1))
-    with pytest.raises(ValueError, match="not unique"):
-        sampling.random_sample(df, "row_id", 3)
+    for ranked in (2, 200_000):
+        with pytest.raises(ValueError, match="not unique"):
+            sampling.random_sample(df, "row_id", 3, ranked_rows=ranked)
+
+
+def test_repeated_ids_away_from_the_cut_do_no_harm(spark):
+    df = spark.range(40).select(F.when(F.col("id") < 10, 7).otherwise(F.col("id")).alias("row_id"))
+    rows = sorted((r.k, r.row_id) for r in df.select("row_id", sampling.hash_key(F.col("row_id"), 42).alias("k")).collect())
+    last = max(i for i, r in enumerate(rows) if r[1] == 7) + 1
+    for ranked in (2, 200_000):
+        got = sampling.random_sample(df, "row_id", last, ranked_rows=ranked)
+        assert sorted(r.row_id for r in got.collect()) == sorted(r[1] for r in rows[:last])
 
 
 def test_too_many_classes(spark):
