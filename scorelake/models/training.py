@@ -56,7 +56,8 @@ def assemble(df: DataFrame, id_col: str, target: str, features: Sequence[str], m
     inputs = df.select(col(id_col).alias("row_id"), col(target).cast("double").alias("y"),
                        *[col(f) for f in features], *[col(k) for k in keep])
     if partitions:
-        inputs = inputs.repartition(partitions, "row_id")
+        # Sorted, so that a lost partition comes back in the same order: forests draw rows by position.
+        inputs = inputs.repartition(partitions, "row_id").sortWithinPartitions("row_id")
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid=missing)
     return assembler.transform(inputs).select("row_id", "y", "features", *[col(k) for k in keep])
 

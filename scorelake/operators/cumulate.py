@@ -58,7 +58,8 @@ def ordered_totals(rows: DataFrame, group: Sequence[str], value: str, weights: M
         )
 
     splits = [-math.inf, *cuts, math.inf]
-    bucketed = Bucketizer(splits=splits, inputCol=value, outputCol="_bucket").transform(rows)
+    bucketed = (Bucketizer(splits=splits, inputCol=value, outputCol="_bucket").transform(rows)
+                .withColumn("_bucket", F.col("_bucket").cast("int")))
     by_bucket = [*group, "_bucket"]
     within = (
         Window.partitionBy(*by_bucket).orderBy(order)
