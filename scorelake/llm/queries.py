@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scorelake.llm import bpe, licenses, tokenfiles
+from pyspark.sql import functions as F
+
+from scorelake.llm import bpe, decontam, licenses, pii, simhash, tokenfiles
 from scorelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +39,40 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                          public_tokenizers.PATTERN)
+
+
+@query("op4_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_simhash")
+def simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op10_decontamination", """
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from documents),
+b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from benchmark),
+wins as (
+  select distinct item_id, least(len(w), 10) n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') s
+  from (select item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) k from b where len(w) > 0)),
+sizes as (select distinct n from wins),
+places as (
+  select doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') s
+  from (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) k from d cross join sizes)),
+found as (select doc_id, p.n, k, item_id from places p join wins using (n, s)),
+hit as (select doc_id, count(distinct j) n_hit from (select doc_id, unnest(range(k, k + n)) j from found) group by doc_id),
+named as (select doc_id, count(*) n_items, string_agg(i, ',' order by i) l
+          from (select distinct doc_id, cast(item_id as varchar) i from found) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+       sha256(coalesce(l, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join hit using (doc_id) left join named using (doc_id)
+""")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
