@@ -55,17 +55,19 @@ def windows_of(items: DataFrame, id_col: str, text_col: str, window: int, shingl
             .withColumn("size", F.size("words")).withColumn("step", F.least("size", F.lit(shingle))))
 
 
-def _loose_lower(words: Column) -> Column:
-    return F.lower(words)
+def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per document: ``n_words, n_hit``, the ``items`` that it holds windows of, and the ``hits`` (start, size)."""
+    found = mark(docs.select(id_col, text_col), items, id_col, text_col, **options)
+    return found.select(id_col, *[F.col(f"__{name}").alias(name) for name in ("n_words", "n_hit", "items", "hits")])
 
 
-def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
+def mark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
          item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Per document: ``n_words, n_hit``, the ``items`` that it holds windows of, and the ``hits`` (start, size)."""
+    """``docs`` with the columns of :func:`find`, their names led by two underscores."""
     spark = docs.sparkSession
     windows = stored(windows_of(items, item_id, item_text, window, shingle), "windows")
     # Full lower case merges a superset of what A-Z lower case merges, never moves a word's end, and costs less.
-    parts = windows.select("words", "items", "size", "step", F.transform("words", _loose_lower).alias("low"))
+    parts = windows.select("words", "items", "size", "step", F.transform("words", F.lower).alias("low"))
     steps = sorted(r.step for r in parts.select("step").distinct().collect())          # at most SHINGLE values
     every = None
     for step in steps:
@@ -76,24 +78,29 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     if every is None:
         every = parts.select("words", "items", "size", "step", F.lit(0).alias("at"), F.lit(0).cast("long").alias("h"))
     every = stored(every, "window-shingles")
-    candidates = _candidates(spark, chosen, every, steps)
-    joined = chosen.withColumn("th", F.xxhash64("text")).join(
-        candidates, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th")), "left")
-    held = joined.select("id", "text", "found", F.when(F.col("found").isNotNull(), words_of(F.col("text"))).alias("own"))
-    exact = held.select(
-        "id", F.when(F.col("own").isNull(), F.regexp_count("text", F.lit(_ANY_CASE))).otherwise(F.size("own")).cast("long").alias("n_words"),
-        F.filter("found", lambda c: F.slice(F.col("own"), c["start"] + 1, c["size"]) == c["words"]).alias("found"))
+    return _verified(docs, id_col, text_col, _candidates(spark, chosen, every, steps))
+
+
+def _verified(docs: DataFrame, id_col: str, text_col: str, candidates: DataFrame) -> DataFrame:
+    """``docs`` with ``__n_words, __n_hit, __items, __hits``: the words at each start are compared with the window's."""
+    text = text_of(text_col)
+    joined = docs.join(candidates, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th")), "left")
+    held = joined.withColumn("__own", F.when(F.col("__found").isNotNull(), words_of(text)))
+    exact = held.withColumn("__found", F.filter("__found", lambda c: F.slice(F.col("__own"), c["start"] + 1, c["size"]) == c["words"]))
     none = F.array().cast("array<struct<start:int,size:int>>")
-    hits = F.coalesce(F.transform("found", lambda c: F.struct(c["start"].alias("start"), c["size"].alias("size"))), none)
-    places = F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1))))
-    named = F.sort_array(F.array_distinct(F.flatten(F.coalesce(
-        F.transform("found", lambda c: c["items"]), F.array().cast("array<array<string>>")))))
-    return (exact.select("id", "n_words", hits.alias("hits"), named.alias("items"))
-            .select(F.col("id").alias(id_col), "n_words", F.size(places).cast("long").alias("n_hit"), "items", "hits"))
+    no_items = F.array().cast("array<array<string>>")
+    n_words = F.when(F.col("__own").isNull(), F.regexp_count(text, F.lit(_ANY_CASE))).otherwise(F.size("__own"))
+    counted = exact.withColumns({
+        "__n_words": n_words.cast("long"),
+        "__hits": F.coalesce(F.transform("__found", lambda c: F.struct(c["start"].alias("start"), c["size"].alias("size"))), none),
+        "__items": F.sort_array(F.array_distinct(F.flatten(F.coalesce(F.transform("__found", lambda c: c["items"]), no_items)))),
+    })
+    places = F.array_distinct(F.flatten(F.transform("__hits", lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1))))
+    return counted.withColumn("__n_hit", F.size(places).cast("long")).drop("__id", "__th", "__found", "__own")
 
 
 def _candidates(spark: SparkSession, docs: DataFrame, shingles: DataFrame, steps: list[int]) -> DataFrame:
-    """``c_id, c_th, found``: per document the starts at which the rarest shingle of a window lies within bounds."""
+    """``__id, __th, __found``: per document the starts at which the rarest shingle of a window lies within bounds."""
     words = docs.select("id", F.xxhash64("text").alias("th"),
                         F.regexp_extract_all(F.lower("text"), F.lit(_WORDS), F.lit(0)).alias("low"))
     words = words.withColumn("n", F.size("low"))
@@ -110,8 +117,13 @@ def _candidates(spark: SparkSession, docs: DataFrame, shingles: DataFrame, steps
     prefix = stored(ranked.where("p.seen is not null").select("p.h", "p.at", "p.size", "p.items", "words"), "prefixes")
     starts = matches.join(F.broadcast(prefix) if small else prefix, "h").withColumn("start", F.col("pos") - F.col("at"))
     within = starts.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
-    return within.groupBy(F.col("id").alias("c_id"), F.col("th").alias("c_th")).agg(
-        F.collect_set(F.struct("start", "size", "words", "items")).alias("found"))
+    return within.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(
+        F.collect_set(F.struct("start", "size", "words", "items")).alias("__found"))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a window of an item."""
+    return mark(docs, items, id_col, text_col).where("__n_hit = 0").select(docs.columns)
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from scorelake.llm import bpe, decontam, licenses, pii, simhash, tokenfiles
+from scorelake.llm import bpe, decontam, fertility, licenses, pii, quality, simhash, tokenfiles, toxicity, warc
 from scorelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,34 @@ from d left join hit using (doc_id) left join named using (doc_id)
 """)
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op2_warc_archive", """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) payload_bytes, sha256(coalesce(html, '')) payload_digest from pages),
+f as (select *, min(page_id) over (partition by payload_digest) first_id from p)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end record_type,
+       case when payload_bytes >= 100 and page_id <> first_id then first_id end refers_to
+from f
+""")
+def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages"))
+
+
+@query("op7_tokeniser_fertility")
+def tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fertility.judge(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                            public_tokenizers.PATTERN)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                        "chars_per_token", "fallback_share", "entropy")
+
+
+@query("op8_toxicity")
+def toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op9_rule_quality")
+def rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
