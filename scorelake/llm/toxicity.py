@@ -6,8 +6,8 @@ thresholds share one weight vector over sparse word features (log of 1 + count).
 one, the surest first, from the toxic texts that don't hold three of the taken words yet: so words that merely stand beside
 markers, as in a group of copies, aren't taken. Expected severity is the sum of P(grade >= k).
 
-The model is fitted on at most ``MAX_ROWS`` labelled rows (the smallest hashes of their ids) and ``VOCABULARY`` words; so
-many rows come to the driver. Word statistics of that sample are counted in Spark; every text is scored, whole.
+The model is fitted on at most ``MAX_ROWS`` labelled rows (the smallest hashes of their ids) and ``VOCABULARY`` candidate
+words; so many rows come to the driver. Word statistics of that sample are counted in Spark; every text is scored, whole.
 
 Defined cases: null and empty texts have no features; their score is that of an empty text; label rows with a null label
 or without a document are ignored; without labels of both classes every score is 0; repeated rows each get their row;
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from scorelake.llm.common import map_batches, stored, text_of
 
 MAX_ROWS = 20_000
-VOCABULARY = 400
+VOCABULARY = 20_000               # candidates for marker words
 GRADES = 3
 LEAST_Z, LEAST_ODDS = 2.5, 2.0    # of a marker word: standard errors and log odds ratio
 SUPPORT = 0.002                   # share of the toxic texts for which a marker must still speak: labels are noisy
@@ -71,42 +71,43 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
               .where("bad + good >= 3").withColumn("odds", log_odds).withColumn("z", log_odds / error)
               .where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
               .orderBy(F.desc("z"), "word").limit(vocabulary))
-    top = ranked.collect()
-    index = {r.word: k for k, r in enumerate(top)}
-    chosen = counted.join(F.broadcast(ranked.select("word")), "word").select("id", "word", "n").collect() if top else []
-    order = {key: k for k, key in enumerate(sorted(sizes))}
+    ranked = stored(ranked, "toxicity-candidates")
+    top = ranked.toPandas()
+    held = counted.where("y = 1").join(ranked.select("word"), "word").select("id", "word").toPandas()
+    place = {word: k for k, word in enumerate(top["word"])}
+    words = markers(held["id"].factorize()[0], held["word"].map(place).to_numpy(np.int64), top["good"].to_numpy(np.int64), n_bad, n_good)
+    words = [top["word"][k] for k in words]
+    order, index = {key: k for k, key in enumerate(sorted(sizes))}, {word: k for k, word in enumerate(words)}
     y = np.array([sizes[key][0] for key in order])
     count = np.zeros((len(order), len(index)), np.float32)
-    for r in chosen:
-        count[order[r.id], index[r.word]] = r.n
-    taken = markers(count > 0, y)
-    x, total = np.log1p(count[:, taken]), count[:, taken].sum(axis=1)
+    for key, word, n in counted.where(F.col("word").isin(words)).select("id", "word", "n").toPandas().itertuples(index=False):
+        count[order[key], index[word]] = n
+    total = count.sum(axis=1)
     cuts = np.quantile(total[y == 1], [k / GRADES for k in range(1, GRADES)])
     grade = np.where(y == 1, 1 + np.searchsorted(cuts, total, side="left"), 0)
-    words = list(index)
-    return {"words": [words[k] for k in taken], **cumulative_link(x, grade, GRADES)}
+    return {"words": words, **cumulative_link(np.log1p(count), grade, GRADES)}
 
 
-def markers(held: np.ndarray, y: np.ndarray, cover: int = 3) -> list[int]:
-    """Columns of ``held`` (texts x words) taken greedily; texts with ``cover`` taken words no longer speak for others."""
-    good = held[y == 0].sum(axis=0) + 0.5
-    rest, taken = held[y == 1], []
-    seen = np.zeros(len(rest), np.int64)
-    n_good = int((y == 0).sum())
+def markers(text: np.ndarray, word: np.ndarray, good: np.ndarray, n_bad: int, n_good: int, cover: int = 3) -> list[int]:
+    """Words taken greedily. ``text, word``: which toxic text holds which candidate; ``good``: other texts that hold it.
+
+    Texts with ``cover`` taken words no longer speak for others."""
+    good, taken = good + 0.5, []
+    seen = np.zeros(n_bad, np.int64)
     while True:
-        open_ = rest[seen < cover]
-        bad = open_.sum(axis=0) + 0.5
-        odds = np.log(bad / (len(open_) - bad + 1)) - np.log(good / (n_good - good + 1))
+        open_ = seen < cover
+        bad = np.bincount(word[open_[text]], minlength=len(good)) + 0.5
+        odds = np.log(bad / (open_.sum() - bad + 1)) - np.log(good / (n_good - good + 1))
         z = odds / np.sqrt(1 / bad + 1 / good)
         z[taken] = -np.inf
-        z[(odds < LEAST_ODDS) | (bad < max(3, SUPPORT * len(rest)))] = -np.inf
+        z[(odds < LEAST_ODDS) | (bad < max(3, SUPPORT * n_bad))] = -np.inf
         if not len(z) or z.max() < LEAST_Z:
             return taken
         taken.append(int(z.argmax()))
-        seen += rest[:, taken[-1]]
+        seen[text[word == taken[-1]]] += 1
 
 
-def cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, ridge: float = 2e-4, rounds: int = 400) -> dict:
+def cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, ridge: float = 2e-5, rounds: int = 400) -> dict:
     """Maximum likelihood by Adam. Thresholds stay ordered: each is the last one plus the exponential of a free number."""
     n = len(grade)
     above = np.array([np.clip((grade >= k).mean(), 1 / (2 * n), 1 - 1 / (2 * n)) for k in range(1, grades + 1)])
