@@ -37,6 +37,8 @@ def class_counts(df: DataFrame, label: str) -> dict[float, int]:
     rows = df.groupBy(col(label).cast("double").alias("c")).count().limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
+    if any(r["c"] is None or r["c"] != r["c"] for r in rows):
+        raise ValueError(f"{label} has missing values; clean the table first")
     return {r["c"]: r["count"] for r in sorted(rows, key=lambda r: r["c"])}
 
 

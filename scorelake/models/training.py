@@ -83,7 +83,7 @@ def train_all(table: DataFrame, estimators: Mapping[str, Pipeline], parallelism:
         try:
             return name, estimator.fit(table), None
         except Exception as e:
-            return name, None, f"{type(e).__name__}: {e}"[:500]
+            return name, None, f"{type(e).__name__}: {e}"
 
     results = run_fits(table.sparkSession, list(estimators.items()), fit, parallelism)
     return ({n: m for n, m, _ in results if m is not None},

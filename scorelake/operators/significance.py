@@ -80,7 +80,7 @@ def mcnemar_cells(predictions: DataFrame) -> DataFrame:
 
     return by_row.agg(n(1, 1).alias("both_right"), n(1, 0).alias("only_best_right"),
                       n(0, 1).alias("only_second_right"), n(0, 0).alias("both_wrong")).select(
-        F.lit(best).alias("best_model"), F.lit(second).alias("second_model"), "*")
+        F.lit(best).cast("string").alias("best_model"), F.lit(second).cast("string").alias("second_model"), "*")
 
 
 def _t_tail(t: float, df: int) -> float:

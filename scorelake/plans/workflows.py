@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scorelake import config
 from scorelake.models import inspection, training, tuning
@@ -33,12 +34,15 @@ def prepare(spark: SparkSession, source: DataFrame, out: str, features: Sequence
     present = profile.present_features(clean, features)
     tables.write_json(profile.feature_summary(clean, present), f"{out}/feature_summary")
 
-    folded = sampling.stratified_folds(clean, id_col, target, n_folds, seed)
-    split = sampling.stratified_split(folded, id_col, target, test_size, seed)
-    tables.write_splits(split, f"{out}/splits", present, target, keep=[id_col, "fold"])
+    # Split, folds and sample have seeds of their own: with one row order, training rows would miss whole folds.
+    # Folds divide the training rows, test rows have none.
+    split = sampling.stratified_split(clean, id_col, target, test_size, seed)
+    folded = sampling.stratified_folds(split.where("split = 'train'"), id_col, target, n_folds, seed + 1)
+    parts = folded.unionByName(split.where("split = 'test'").withColumn("fold", F.lit(None).cast(folded.schema["fold"].dataType)))
+    tables.write_splits(parts, f"{out}/splits", present, target, keep=[id_col, "fold"])
     stored = spark.read.parquet(f"{out}/splits")
     tables.write_json(tables.split_metadata(stored, present, target, test_size, seed), f"{out}/split_metadata")
-    tables.write_table(sampling.stratified_sample(clean, id_col, target, sample_size, seed), f"{out}/sample")
+    tables.write_table(sampling.stratified_sample(clean, id_col, target, sample_size, seed + 2), f"{out}/sample")
     return report
 
 
@@ -68,11 +72,17 @@ def train_and_evaluate(spark: SparkSession, splits: DataFrame, out: str, feature
     table = training.assemble(splits, id_col, target, features, keep=["split", "fold"], partitions=partitions).persist()
     try:
         train, test = table.where("split = 'train'"), table.where("split = 'test'")
+        folds = {r["fold"] for r in train.select("fold").distinct().collect()}
+        if folds != set(range(n_folds)):
+            raise ValueError(f"training rows have the folds {sorted(folds, key=str)}, asked are 0 to {n_folds - 1}")
         overrides = dict(overrides or {})
         if tune:
             found = tuning.random_search(train, names, n_folds=n_folds, parallelism=parallelism)
             results = {n: r for n, r in found.items() if isinstance(r, tuning.SearchResult)}
             overrides |= {n: r.best_params for n, r in results.items()}
+            failed = {n: r for n, r in found.items() if n not in results}
+            if failed:
+                raise RuntimeError(f"tuning failed: {failed}")
             for result in results.values():
                 scores = result.table(spark)
                 scores.write.mode("append").json(f"{out}/tuning")

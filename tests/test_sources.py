@@ -64,12 +64,23 @@ def test_workflows(spark, sf_dir, tmp_path):
     assert {r.split: r["count"] for r in splits.groupBy("split").count().collect()} == {"train": 700, "test": 300}
     assert 45 <= spark.read.parquet(f"{out}/sample").count() <= 50
 
+    train = splits.where("split = 'train'")
+    sizes = {}
+    for r in train.groupBy("y", "fold").count().collect():
+        sizes.setdefault(r.y, {})[r.fold] = r["count"]
+    assert all(set(own) == set(range(5)) and max(own.values()) - min(own.values()) <= 1 for own in sizes.values())
+    assert splits.where("split = 'test' and fold is not null").count() == 0
+    in_sample = spark.read.parquet(f"{out}/sample").join(train, "row_id").count()
+    assert in_sample < spark.read.parquet(f"{out}/sample").count()
+    with pytest.raises(ValueError, match="folds"):
+        train_and_evaluate(spark, splits, str(tmp_path / "wrong"), inputs.FEATURES, "y", "row_id", n_folds=3)
+
     small = {"RandomForest": {"numTrees": 5, "maxDepth": 5}}
     run = train_and_evaluate(spark, splits, str(tmp_path / "run"), inputs.FEATURES, "y", "row_id",
-                             names=["RandomForest", "LogisticRegression"], n_folds=3, overrides=small)
+                             names=["RandomForest", "LogisticRegression"], n_folds=5, overrides=small)
     assert {r.model for r in run["metrics"].collect()} == {"RandomForest", "LogisticRegression", "Ensemble"}
     assert all(r.accuracy > 0.8 for r in run["metrics"].collect())
-    assert run["fold_test"]["pairs"] == 3
+    assert run["fold_test"]["pairs"] == 5
     assert set(os.listdir(tmp_path / "run")) >= {"fold_scores", "history", "status", "models", "importance", "predictions",
                                                  "metrics", "rankings", "curves"}
 
