@@ -3,24 +3,26 @@
 Splits, samples and folds all ask "is this row among the first n of its class in key order?". Ranking
 every row would shuffle and sort the whole table. Instead the key at rank n is looked up: count rows
 per (class, key prefix), walk to the prefix that holds rank n, look closer only inside that prefix.
-Each pass reads two columns and shuffles a few thousand counters. Afterwards membership is a
-comparison with a literal, a filter or projection without any shuffle.
+Each pass reads two columns and shuffles prefix counters; the walk is a window over them. The driver
+receives one counter per class and one place per wanted rank. Afterwards membership is a comparison
+with the cuts of the row's class: literals without a class, else a small table joined on the class.
 """
 
 from __future__ import annotations
 
 import os
-from collections import defaultdict
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelake.functions.missing import col
+
 PREFIX_STEP = 3            # hexadecimal digits per pass: 4096 prefixes
 RANKED_ROWS = 200_000      # a prefix with at most this many rows is ranked directly
-MAX_CLASSES = 100
 NOT_UNIQUE = "row ids are not unique: rows on both sides of a cut share their key"
 BEFORE_ALL, AFTER_ALL = "", "g"   # below and above every hexadecimal key
 
@@ -36,31 +38,39 @@ def id_key(id_col: Column) -> Column:
     return F.lower(F.lpad(F.hex(flipped), 16, "0"))
 
 
-def _within(places: Sequence[tuple[Any, str]]) -> Column:
-    tests = [(F.col("g") == F.lit(g)) & F.col("k").startswith(p) for g, p in sorted(set(places), key=str)]
-    return reduce(lambda a, b: a | b, tests)
+def _local(df: DataFrame, group: str, found: Sequence[Mapping[str, Any]]) -> DataFrame:
+    """Driver rows as a table of known size, so that the planner decides by it whether to broadcast; ``g`` gets the
+    type of the column ``group``."""
+    made = df.sparkSession.createDataFrame(pa.Table.from_pylist([dict(r) for r in found]))
+    return made.withColumn("g", F.col("g").cast(df.schema[group].dataType))
+
+
+def _inside(rows: DataFrame, places: Sequence[Mapping[str, Any]]) -> DataFrame:
+    """Rows of the places (class ``g``, prefix ``p``), with the prefix as ``p``; places of one length are disjoint."""
+    parts = []
+    for digits in sorted({len(x["p"]) for x in places}):
+        wanted = sorted({(x["g"], x["p"]) for x in places if len(x["p"]) == digits}, key=str)
+        table = _local(rows, "g", [{"g": g, "p": p} for g, p in wanted])
+        parts.append(rows.withColumn("p", F.substring("k", 1, digits)).join(table, ["g", "p"]))
+    return reduce(DataFrame.unionByName, parts)
+
 
+def _walk(prefixes: DataFrame, places: Sequence[Mapping[str, Any]]) -> list[dict[str, Any]]:
+    """Each place (g, r, p, rank) moved to the longer prefix that holds it, with the rank inside that and its rows ``n``.
 
-def _count_prefixes(rows: DataFrame, digits: int, limit: int) -> dict[Any, list[tuple[str, int]]]:
-    counted = (
-        rows.groupBy("g", F.substring("k", 1, digits).alias("p")).agg(F.count("*").alias("n"))
-        .limit(limit + 1).collect()
-    )
-    if len(counted) > limit:
-        raise ValueError(f"more than {MAX_CLASSES} classes: the target is not a class label")
-    found: dict[Any, list[tuple[str, int]]] = defaultdict(list)
-    for r in counted:
-        found[r["g"]].append((r["p"], r["n"]))
-    return {g: sorted(v) for g, v in found.items()}
+    ``prefixes`` holds (g, p, q, n): rows per longer prefix ``q`` of ``p``.
+    """
+    upto = F.sum("n").over(Window.partitionBy("g", "p").orderBy("q"))
+    asked = _local(prefixes, "g", [{k: x[k] for k in ("g", "r", "p", "rank")} for x in places])
+    before = F.col("upto") - F.col("n")
+    found = (prefixes.withColumn("upto", upto).join(asked, ["g", "p"])
+             .where((F.col("rank") <= F.col("upto")) & (F.col("rank") > before))
+             .select("g", "r", F.col("q").alias("p"), (F.col("rank") - before).alias("rank"), "n"))
+    return [r.asDict() for r in found.collect()]
 
 
-def _walk(prefixes: list[tuple[str, int]], rank: int) -> tuple[str, int, int]:
-    """Prefix holding ``rank`` (from 1), the rank inside it, and its row count."""
-    for prefix, n in prefixes:
-        if rank <= n:
-            return prefix, rank, n
-        rank -= n
-    raise ValueError("rank beyond the group")
+def _prefix_counts(rows: DataFrame, digits: int) -> DataFrame:
+    return rows.groupBy("g", "p", F.substring("k", 1, digits).alias("q")).agg(F.count("*").alias("n"))
 
 
 def keys_at_ranks(rows: DataFrame, wanted: Callable[[dict[Any, int]], Mapping[Any, Sequence[int]]],
@@ -70,59 +80,45 @@ def keys_at_ranks(rows: DataFrame, wanted: Callable[[dict[Any, int]], Mapping[An
 
     ``rows`` has columns ``g`` (group) and ``k`` (hexadecimal key, unique per row); ``wanted`` turns the
     counts, those of rows without a group included, into ranks for the groups of interest. Rank 0 gives a key below all, a rank of at
-    least the group's size one above all.
+    least the group's size one above all. Any number of groups will do.
     """
     digits = skip_digits + PREFIX_STEP
-    prefixes = _count_prefixes(rows, digits, MAX_CLASSES * 16**PREFIX_STEP)
-    if len(prefixes) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes: the target is not a class label")
-    counts = {g: sum(n for _, n in v) for g, v in prefixes.items()}
-    ranks = {g: list(v) for g, v in wanted(counts).items()}
-
-    open_: dict[tuple[Any, int], tuple[str, int, int]] = {}
-    for g, rs in ranks.items():
-        for r in rs:
-            if 0 < r < counts[g]:
-                open_[g, r] = _walk(prefixes[g], r)
-
-    while any(n > ranked_rows and len(p) == digits for p, _, n in open_.values()):
-        heavy = {key: place for key, place in open_.items() if place[2] > ranked_rows and len(place[0]) == digits}
-        inside = rows.where(_within([(g, p) for (g, _), (p, _, _) in heavy.items()]))
-        finer = _count_prefixes(inside, digits + PREFIX_STEP, len(heavy) * 16**PREFIX_STEP)
-        for (g, r), (p, rank, _) in heavy.items():
-            open_[g, r] = _walk([(q, n) for q, n in finer[g] if q.startswith(p)], rank)
+    prefixes = _prefix_counts(rows.withColumn("p", F.lit("")), digits).persist()
+    try:
+        counts = {r["g"]: r["n"] for r in prefixes.groupBy("g").agg(F.sum("n").alias("n")).collect()}
+        ranks = {g: list(v) for g, v in wanted(counts).items()}
+        asked = [{"g": g, "r": r, "p": "", "rank": r} for g, v in ranks.items() for r in sorted(set(v)) if 0 < r < counts[g]]
+        places = _walk(prefixes, asked) if asked else []
+    finally:
+        prefixes.unpersist()
+
+    def heavy(x: Mapping[str, Any]) -> bool:
+        return x["n"] > ranked_rows and len(x["p"]) == digits
+
+    while any(map(heavy, places)):
+        open_, near = [x for x in places if heavy(x)], [x for x in places if not heavy(x)]
         digits += PREFIX_STEP
+        places = near + _walk(_prefix_counts(_inside(rows, open_), digits), open_)
 
-    found: dict[tuple[Any, str, int], str] = {}
-    for (g, _), (p, rank, n) in open_.items():
-        if n > ranked_rows:     # a whole key shared by that many rows: nothing left to rank
-            if rank < n:
+    found: dict[tuple[Any, int], str] = {}
+    near = [x for x in places if x["n"] <= ranked_rows]
+    for x in places:
+        if x["n"] > ranked_rows:     # a whole key shared by that many rows: nothing left to rank
+            if x["rank"] < x["n"]:
                 raise ValueError(NOT_UNIQUE)
-            found[g, p, rank] = p
-    places = [(g, p) for (g, _), (p, rank, _) in open_.items() if (g, p, rank) not in found]
-    if places:
-        place: Any = F      # per group: one group may have been looked at more closely than another
-        for g, p in sorted(set(places), key=str):
-            place = place.when(_within([(g, p)]), F.lit(p))
+            found[x["g"], x["r"]] = x["p"]
+    if near:
         by_key = Window.partitionBy("g", "p").orderBy("k")
-        ranked = rows.where(_within(places)).withColumn("p", place).select(
-            "*", F.row_number().over(by_key).alias("r"), F.lead("k").over(by_key).alias("next_k"))
-        hits = reduce(lambda a, b: a | b, [
-            (F.col("g") == F.lit(g)) & (F.col("p") == p) & (F.col("r") == rank)
-            for (g, _), (p, rank, _) in open_.items() if (g, p, rank) not in found
-        ])
-        for row in ranked.where(hits).collect():
+        ranked = _inside(rows, near).select(
+            "*", F.row_number().over(by_key).alias("rank"), F.lead("k").over(by_key).alias("next_k"))
+        table = _local(rows, "g", [{k: x[k] for k in ("g", "p", "rank", "r")} for x in near])
+        for row in ranked.join(table, ["g", "p", "rank"]).select("g", "r", "k", "next_k").collect():
             if row["k"] == row["next_k"]:
                 raise ValueError(NOT_UNIQUE)
-            found[row["g"], row["p"], row["r"]] = row["k"]
+            found[row["g"], row["r"]] = row["k"]
 
     def key_for(g: Any, r: int) -> str:
-        if r <= 0:
-            return BEFORE_ALL
-        if r >= counts[g]:
-            return AFTER_ALL
-        p, rank, _ = open_[g, r]
-        return found[g, p, rank]
+        return BEFORE_ALL if r <= 0 else AFTER_ALL if r >= counts[g] else found[g, r]
 
     return counts, {g: [key_for(g, r) for r in rs] for g, rs in ranks.items()}
 
@@ -133,21 +129,22 @@ def common_digits(rows: DataFrame) -> int:
     return len(os.path.commonprefix([lo, hi])) if lo is not None else 0
 
 
-def block_index(group: Column, cuts: Mapping[Any, Sequence[str]], above: Callable[[str], Column]) -> Column:
-    """Number of cuts of the row's group that it lies above; ``above`` compares the row with one cut."""
-    def passed(cut: str) -> Column:
-        return F.lit(1) if cut == BEFORE_ALL else F.lit(0) if cut == AFTER_ALL else above(cut).cast("int")
-
-    out: Any = F
-    for g, ks in cuts.items():
-        out = out.when(group == F.lit(g), reduce(lambda a, b: a + b, map(passed, ks), F.lit(0)))
-    return out.otherwise(F.lit(None).cast("int")) if cuts else F.lit(None).cast("int")
+def _passed(key: Column, cuts: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, [(key > c).cast("int") for c in cuts], F.lit(0))
 
 
-def above_key(key: Column) -> Callable[[str], Column]:
-    return lambda cut: key > F.lit(cut)
+def with_block(df: DataFrame, name: str, key: Column, cuts: Mapping[Any, Sequence[str]], group: str | None = None) -> DataFrame:
+    """Add ``name``: how many cuts of the row's class (column ``group``) its key lies above; null for a class without cuts.
 
-
-def above_id(id_col: Column) -> Callable[[str], Column]:
-    """Compares the integer itself with the id that a cut of :func:`id_key` stands for."""
-    return lambda cut: id_col > F.lit(int(cut, 16) - 2**63).cast("bigint")
+    Without ``group`` the cuts are literals. With it they are one row per class, joined: as a broadcast while the
+    planner finds that table small, so the data stays where it is.
+    """
+    if not cuts:
+        return df.withColumn(name, F.lit(None).cast("int"))
+    if group is None:
+        return df.withColumn(name, _passed(key, [F.lit(c) for c in next(iter(cuts.values()))]))
+    names = [f"__cut_{i}" for i in range(len(next(iter(cuts.values()))))]
+    table = _local(df, group, [{"g": g, **dict(zip(names, ks))} for g, ks in cuts.items()]).withColumnRenamed("g", "__class")
+    joined = df.join(table, col(group) == F.col("__class"), "left")
+    known = F.when(F.col("__class").isNotNull(), _passed(key, [F.col(n) for n in names]))
+    return joined.withColumn(name, known).drop("__class", *names)

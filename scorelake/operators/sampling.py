@@ -2,13 +2,14 @@
 
 Rows of a class are put in the order of ``md5(seed | row id)`` (or of the id itself) and cut at exact
 ranks, so sizes are exact and membership depends on nothing but seed and ids. The input is read twice
-(two columns) to find the cuts, then once by the caller; it should therefore be a stored table.
+(two columns) to find the cuts, then once by the caller; it should therefore be a stored table. The number
+of classes is not limited; the driver holds one counter and the cut keys per class.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from scorelake import config
 from scorelake.functions.missing import col, value_or_null
 from scorelake.operators.ordering import (
-    RANKED_ROWS, above_id, above_key, block_index, common_digits, hash_key, id_key, keys_at_ranks,
+    RANKED_ROWS, common_digits, hash_key, id_key, keys_at_ranks, with_block,
 )
 
 
@@ -76,14 +77,20 @@ def fold_ends(counts: Mapping[Any, int], n_folds: int) -> dict[Any, list[int]]:
     return ends
 
 
+_BLOCK = "__block"
+
+
+def _named_split(placed: DataFrame) -> DataFrame:
+    return placed.withColumn("split", F.when(F.col(_BLOCK) == 0, F.lit("train")).otherwise(F.lit("test"))).drop(_BLOCK)
+
+
 def random_split(df: DataFrame, id_col: str, test_size: float = config.TEST_SIZE,
                  seed: int = config.RANDOM_STATE, ranked_rows: int = RANKED_ROWS) -> DataFrame:
     """Add ``split`` (train/test) with exact sizes, ignoring classes."""
     key = hash_key(col(id_col), seed)
     _, cuts = keys_at_ranks(_keyed(df, key, None), lambda c: {g: [q] for g, q in split_quotas(c, test_size).items()},
                             ranked_rows=ranked_rows)
-    index = block_index(F.lit(0), cuts, above_key(key))
-    return df.withColumn("split", F.when(index == 0, F.lit("train")).otherwise(F.lit("test")))
+    return _named_split(with_block(df, _BLOCK, key, cuts))
 
 
 def stratified_split(df: DataFrame, id_col: str, target: str, test_size: float = config.TEST_SIZE,
@@ -104,8 +111,7 @@ def stratified_split(df: DataFrame, id_col: str, target: str, test_size: float =
     counts, cuts = keys_at_ranks(_keyed(df, key, target), ranks, ranked_rows=ranked_rows)
     if counts and not cuts:
         return random_split(df, id_col, test_size, seed, ranked_rows)
-    index = block_index(col(target), cuts, above_key(key))
-    return df.withColumn("split", F.when(index == 0, F.lit("train")).otherwise(F.lit("test")))
+    return _named_split(with_block(df, _BLOCK, key, cuts, target))
 
 
 def random_sample(df: DataFrame, id_col: str, n: int, seed: int = config.RANDOM_STATE,
@@ -114,7 +120,7 @@ def random_sample(df: DataFrame, id_col: str, n: int, seed: int = config.RANDOM_
     key = hash_key(col(id_col), seed)
     _, cuts = keys_at_ranks(_keyed(df, key, None), lambda c: {g: [min(n, rows)] for g, rows in c.items()},
                             ranked_rows=ranked_rows)
-    return df.where(block_index(F.lit(0), cuts, above_key(key)) == 0)
+    return with_block(df, _BLOCK, key, cuts).where(F.col(_BLOCK) == 0).drop(_BLOCK)
 
 
 def stratified_sample(df: DataFrame, id_col: str, target: str | None, n: int = config.SAMPLE_SIZE,
@@ -130,7 +136,7 @@ def stratified_sample(df: DataFrame, id_col: str, target: str | None, n: int = c
         _keyed(df, key, target),
         lambda c: {g: [q] for g, q in sample_quotas(_known(c), sum(c.values()), n).items()},
         ranked_rows=ranked_rows)
-    return df.where(block_index(col(target), cuts, above_key(key)) == 0)
+    return with_block(df, _BLOCK, key, cuts, target).where(F.col(_BLOCK) == 0).drop(_BLOCK)
 
 
 def with_shuffle_key(df: DataFrame, id_col: str, seed: int = config.RANDOM_STATE) -> DataFrame:
@@ -138,8 +144,7 @@ def with_shuffle_key(df: DataFrame, id_col: str, seed: int = config.RANDOM_STATE
     return df.withColumn("shuffle_key", hash_key(col(id_col), seed))
 
 
-def _folds(df: DataFrame, target: str, n_folds: int, key: Column, above: Callable[[str], Column], skip: bool,
-           ranked_rows: int) -> DataFrame:
+def _folds(df: DataFrame, target: str, n_folds: int, key: Column, skip: bool, ranked_rows: int) -> DataFrame:
     if n_folds < 2:
         raise ValueError("at least two folds are needed")
     keyed = _keyed(df, key, target)
@@ -151,20 +156,19 @@ def _folds(df: DataFrame, target: str, n_folds: int, key: Column, above: Callabl
         return fold_ends(counts, n_folds)
 
     _, cuts = keys_at_ranks(keyed, ranks, skip_digits=common_digits(keyed) if skip else 0, ranked_rows=ranked_rows)
-    return df.withColumn("fold", block_index(col(target), cuts, above))
+    return with_block(df, "fold", key, cuts, target)
 
 
 def stratified_folds(df: DataFrame, id_col: str, target: str, n_folds: int = 5,
                      seed: int = config.RANDOM_STATE, ranked_rows: int = RANKED_ROWS) -> DataFrame:
     """Add ``fold`` (0..n-1): shuffled stratified folds."""
-    key = hash_key(col(id_col), seed)
-    return _folds(df, target, n_folds, key, above_key(key), False, ranked_rows)
+    return _folds(df, target, n_folds, hash_key(col(id_col), seed), False, ranked_rows)
 
 
 def ordered_folds(df: DataFrame, id_col: str, target: str, n_folds: int = 5,
                   ranked_rows: int = RANKED_ROWS) -> DataFrame:
     """Add ``fold`` (0..n-1): stratified folds of consecutive rows in the order of an integer id."""
-    return _folds(df, target, n_folds, id_key(col(id_col)), above_id(col(id_col)), True, ranked_rows)
+    return _folds(df, target, n_folds, id_key(col(id_col)), True, ranked_rows)
 
 
 def split_summary(df: DataFrame, target: str, n_features: int) -> DataFrame:

@@ -109,10 +109,19 @@ def test_repeated_ids_away_from_the_cut_do_no_harm(spark):
         assert sorted(r.row_id for r in got.collect()) == sorted(r[1] for r in rows[:last])
 
 
-def test_too_many_classes(spark):
-    df = spark.range(500).select(F.col("id").alias("row_id"), F.col("id").alias("y"))
-    with pytest.raises(ValueError, match="classes"):
-        sampling.stratified_folds(df, "row_id", "y")
+def test_any_number_of_classes(spark):
+    df = spark.range(3000).select(F.col("id").alias("row_id"), F.concat(F.lit("c"), F.col("id") % 600).alias("y"))
+    folds = sampling.stratified_folds(df, "row_id", "y", 5, ranked_rows=2).groupBy("y", "fold").count().collect()
+    assert len(folds) == 3000 and {r["count"] for r in folds} == {1}
+    split = sampling.stratified_split(df, "row_id", "y", 0.2).groupBy("y", "split").count().collect()
+    assert {(r.split, r["count"]) for r in split} == {("train", 4), ("test", 1)} and len(split) == 1200
+    assert sampling.stratified_sample(df, "row_id", "y", 1200).groupBy("y").count().where("count = 2").count() == 600
+
+
+def test_assigning_rows_moves_no_data(spark):
+    df = table(spark, 200, "id % 4 = 0")
+    plan = sampling.stratified_split(df, "row_id", "y")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
 def test_sample_ignores_missing_targets_and_caps(spark):
