@@ -27,19 +27,20 @@ from pyspark.sql import functions as F
 
 from scorelake import config
 from scorelake.functions.missing import col
-from scorelake.operators.ordering import MAX_CLASSES
 
 WEIGHT = "class_weight"
 
 
 def class_counts(df: DataFrame, label: str) -> dict[float, int]:
-    """Rows per class; refuses a target with too many classes to be one."""
-    rows = df.groupBy(col(label).cast("double").alias("c")).count().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
-    if any(r["c"] is None or r["c"] != r["c"] for r in rows):
+    """Rows of the classes 0 and 1, those that occur; refuses missing and other labels."""
+    y = col(label).cast("double")
+    found = df.agg(F.count("*").alias("n"), F.count(F.when(y.isNull() | F.isnan(y), 1)).alias("missing"),
+                   *[F.count(F.when(y == c, 1)).alias(f"n{c}") for c in (0, 1)]).first()
+    if found["missing"]:
         raise ValueError(f"{label} has missing values; clean the table first")
-    return {r["c"]: r["count"] for r in sorted(rows, key=lambda r: r["c"])}
+    if found["n0"] + found["n1"] < found["n"]:
+        raise ValueError(f"{label} has classes other than 0 and 1")
+    return {float(c): found[f"n{c}"] for c in (0, 1) if found[f"n{c}"]}
 
 
 def balanced(counts: dict[float, int]) -> dict[float, float]:

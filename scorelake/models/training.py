@@ -17,6 +17,7 @@ from scorelake import config
 from scorelake.functions.missing import col
 from scorelake.models.stages import WEIGHT, BalancedLogisticRegression, ClassWeigher, KernelSVM
 from scorelake.operators.metrics import cells, from_cells
+from scorelake.operators.sampling import stratified_sample
 from scorelake.session import scratch_root
 
 MODEL_NAMES = list(config.MODEL_PARAMS)
@@ -47,12 +48,14 @@ def registry(names: Sequence[str] = MODEL_NAMES, overrides: Mapping[str, dict] |
 
 
 def assemble(df: DataFrame, id_col: str, target: str, features: Sequence[str], missing: str = "error",
-             keep: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+             keep: Sequence[str] = (), partitions: int | None = None, rows_per_partition: int | None = None) -> DataFrame:
     """(row_id, y, features, ...): the only layout the models see. ``missing``: error or skip.
 
     Persist the result before fitting; every fit reads it many times. ``partitions`` spreads a table
-    that arrives in fewer pieces than there are cores.
+    that arrives in fewer pieces than there are cores; ``rows_per_partition`` sets their number by size instead.
     """
+    if rows_per_partition:
+        partitions = -(-df.count() // rows_per_partition) or 1
     inputs = df.select(col(id_col).alias("row_id"), col(target).cast("double").alias("y"),
                        *[col(f) for f in features], *[col(k) for k in keep])
     if partitions:
@@ -62,6 +65,15 @@ def assemble(df: DataFrame, id_col: str, target: str, features: Sequence[str], m
     return assembler.transform(inputs).select("row_id", "y", "features", *[col(k) for k in keep])
 
 
+def fit_sample(table: DataFrame, fit_rows: int | None) -> DataFrame:
+    """At most ``fit_rows`` labelled rows to fit on, class shares kept (all rows when None).
+
+    Forests and kernel machines hold trees or feature maps that grow with the rows they are fitted on; this bounds
+    them. Scoring is never bounded.
+    """
+    return table if fit_rows is None else stratified_sample(table, "row_id", "y", fit_rows)
+
+
 def run_fits(spark: SparkSession, jobs: Sequence, work, parallelism: int) -> list:
     """Run independent fits from a few driver threads; Spark schedules their tasks side by side."""
     if parallelism <= 1:
@@ -70,13 +82,14 @@ def run_fits(spark: SparkSession, jobs: Sequence, work, parallelism: int) -> lis
         return pool.map(inheritable_thread_target(spark)(work), jobs)
 
 
-def train_all(table: DataFrame, estimators: Mapping[str, Pipeline], parallelism: int = 2,
+def train_all(table: DataFrame, estimators: Mapping[str, Pipeline], parallelism: int = 2, fit_rows: int | None = None,
               ) -> tuple[dict[str, PipelineModel], list[tuple[str, str, str | None]]]:
     """Fit every estimator; returns the models and (model, status, error) rows.
 
-    A failing model is recorded and the others go on.
+    A failing model is recorded and the others go on. ``fit_rows``: see :func:`fit_sample`.
     """
     scratch_root(table.sparkSession)   # boosting and deep forests cut their lineage there
+    table = fit_sample(table, fit_rows)
 
     def fit(item):
         name, estimator = item
@@ -131,21 +144,34 @@ def predict(models: Mapping[str, PipelineModel], table: DataFrame, ensemble: boo
             .select("m.model", "row_id", "y", "m.pred", "m.score", *keep))
 
 
-def cross_validate(table: DataFrame, estimators: Mapping[str, Pipeline], n_folds: int, parallelism: int = 2) -> DataFrame:
+def cross_validate(table: DataFrame, estimators: Mapping[str, Pipeline], n_folds: int, parallelism: int = 2,
+                   fit_rows: int | None = None, failures: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """Out-of-fold predictions (model, row_id, y, pred, score, fold); ``table`` carries ``fold``.
 
-    Everything learned, class weights included, is learned on the other folds.
+    Everything learned, class weights included, is learned on the other folds. A model that fails on a fold is left
+    out and noted in ``failures`` as (model, "failed", error); without that list, or when no model is left, it raises.
     """
     scratch_root(table.sparkSession)
 
     def fit(job):
         f, name = job
-        return f, name, estimators[name].fit(table.where(F.col("fold") != f))
+        try:
+            return f, name, estimators[name].fit(fit_sample(table.where(F.col("fold") != f), fit_rows)), None
+        except Exception as e:
+            return f, name, None, f"fold {f}: {type(e).__name__}: {e}"
 
     fitted = run_fits(table.sparkSession, [(f, n) for f in range(n_folds) for n in estimators], fit, parallelism)
+    failed: dict[str, str] = {}
+    for _, name, _, error in fitted:
+        if error is not None:
+            failed.setdefault(name, error)
+    if failed and (failures is None or len(failed) == len(estimators)):
+        raise RuntimeError(f"cross-validation failed: {failed}")
+    if failures is not None:
+        failures += [(name, "failed", error) for name, error in failed.items()]
     out = None
     for f in range(n_folds):
-        models = {name: m for g, name, m in fitted if g == f}
+        models = {name: m for g, name, m, _ in fitted if g == f and name not in failed}
         part = predict(models, table.where(F.col("fold") == f), keep=["fold"])
         out = part if out is None else out.unionByName(part)
     return out
@@ -177,4 +203,5 @@ def training_summary(history: DataFrame) -> DataFrame:
 
 
 def append_history(rows: DataFrame, path: str) -> None:
+    """Add rows to a history that collects several runs."""
     rows.write.mode("append").parquet(path)

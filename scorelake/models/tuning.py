@@ -56,7 +56,10 @@ def search(table: DataFrame, name: str, candidates: Sequence[dict], n_folds: int
         c, f = job
         model = build(name, **candidates[c]).fit(table.where(F.col("fold") != f))
         hit = (F.col("prediction") == F.col("y")).cast("double")
-        return c, model.transform(table.where(F.col("fold") == f)).agg(F.avg(hit).alias("a")).first()["a"]
+        accuracy = model.transform(table.where(F.col("fold") == f)).agg(F.avg(hit).alias("a")).first()["a"]
+        if accuracy is None:
+            raise ValueError(f"fold {f} has no rows")
+        return c, accuracy
 
     jobs = [(c, f) for c in range(len(candidates)) for f in range(n_folds)]
     found: dict[int, list[float]] = {}

@@ -72,10 +72,12 @@ def accuracy_summary(metrics: DataFrame, name: str = "accuracy") -> DataFrame:
 
 
 def cv_summary(fold_scores: DataFrame) -> DataFrame:
-    """Per model: folds, mean and population standard deviation of (model, fold, value) rows."""
+    """Per model: folds, mean and population standard deviation of (model, fold, value) rows, and the fold scores in
+    order of the folds as a list (as long as there are folds)."""
     return fold_scores.groupBy("model").agg(
         F.count("value").alias("folds"), F.avg("value").alias("mean_score"),
-        F.stddev_pop("value").alias("std_score"))
+        F.stddev_pop("value").alias("std_score"),
+        F.transform(F.array_sort(F.collect_list(F.struct("fold", "value"))), lambda s: s["value"]).alias("fold_scores"))
 
 
 def top_features(importance: DataFrame, n: int = 10) -> DataFrame:

@@ -15,17 +15,20 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 20_000
-LOOKED_AT = 100     # rows per bucket that decide where to cut
+ROWS_PER_BUCKET = 1_000_000     # the number of buckets has no limit; the driver holds one cut per bucket
+LOOKED_AT = 20      # rows per bucket that decide where to cut
 
 
 def _cut_points(rows: DataFrame, value: str, buckets: int, n: int) -> list[float]:
     """Approximate quantiles. They decide how evenly tasks are loaded, not what comes out."""
     shares = [i / buckets for i in range(1, buckets)]
-    seen = rows.sample(min(1.0, LOOKED_AT * buckets / n), seed=1)
-    found = seen.agg(F.percentile_approx(value, shares, 5 * buckets).alias("q")).first()["q"] or []
-    return sorted(set(float(v) for v in found if not math.isinf(v)))
+    share = min(1.0, LOOKED_AT * buckets / n)
+    for seen in [rows.sample(share, seed=1), rows] if share < 1 else [rows]:     # all rows when the sample shows no cut
+        found = seen.agg(F.percentile_approx(value, shares, 5 * buckets).alias("q")).first()["q"] or []
+        cuts = sorted(set(float(v) for v in found if not math.isinf(v)))
+        if cuts:
+            return cuts
+    return []
 
 
 def ordered_totals(rows: DataFrame, group: Sequence[str], value: str, weights: Mapping[str, Column],
@@ -34,7 +37,7 @@ def ordered_totals(rows: DataFrame, group: Sequence[str], value: str, weights: M
     """One row per (group, distinct value) with totals and running totals of every weight.
 
     ``rows`` holds raw rows; ``value`` must be a double without null or NaN. ``weights`` maps a name
-    to an aggregate (``F.sum(...)``, ``F.count(...)``). Result: ``group``, ``value``, and per weight
+    to an aggregate that adds up over values (``F.sum(...)``, ``F.count(...)``). Result: ``group``, ``value``, and per weight
     ``<w>`` (this value), ``<w>_upto`` (this value and all before it) and ``<w>_total`` (the group).
 
     Equal values are merged before the shuffle, so a value shared by a third of all rows costs one
@@ -42,12 +45,12 @@ def ordered_totals(rows: DataFrame, group: Sequence[str], value: str, weights: M
     """
     group = list(group)
     n = rows.count() if row_count is None else row_count
-    buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
+    buckets = math.ceil(n / rows_per_bucket)
     order = F.col(value).desc() if descending else F.col(value).asc()
     aggs = [agg.alias(w) for w, agg in weights.items()]
 
     cuts = _cut_points(rows, value, buckets, n) if buckets > 1 else []
-    if not cuts:
+    if not cuts:        # one bucket, or all quantiles infinite
         hist = rows.groupBy(*group, value).agg(*aggs)
         whole = Window.partitionBy(*group)
         upto = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -65,17 +68,15 @@ def ordered_totals(rows: DataFrame, group: Sequence[str], value: str, weights: M
         Window.partitionBy(*by_bucket).orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    hist = (
-        bucketed.groupBy(*by_bucket, value).agg(*aggs)
-        .select("*", *[F.sum(w).over(within).alias(f"_{w}_in") for w in weights])
-    )
-    # One row per (group, bucket), at most MAX_BUCKETS per group. No broadcast hint: both sides end
-    # up partitioned by (group, bucket), and adaptive execution broadcasts only when it fits.
+    merged = bucketed.groupBy(*by_bucket, value).agg(*aggs)
+    hist = merged.select("*", *[F.sum(w).over(within).alias(f"_{w}_in") for w in weights])
+    # One row per (group, bucket), summed from the merged values, whose shuffle serves both. No broadcast hint: both
+    # sides end up partitioned by (group, bucket), and adaptive execution broadcasts only when it fits.
     whole = Window.partitionBy(*group)
     bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     before = whole.orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        bucketed.groupBy(*by_bucket).agg(*aggs)
+        merged.groupBy(*by_bucket).agg(*[F.sum(w).alias(w) for w in weights])
         .select(
             *by_bucket,
             *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"_{w}_before") for w in weights],

@@ -105,10 +105,8 @@ def sens_spec(predictions: DataFrame) -> DataFrame:
 
 
 def success_rate(predictions: DataFrame) -> DataFrame:
-    """Rows with a prediction / rows attempted, per model."""
-    return predictions.groupBy("model").agg(
-        F.count("pred").alias("valid"), F.count("*").alias("attempted"),
-        (F.count("pred") / F.count("*")).alias("success_rate"))
+    """Valid predictions / rows attempted, per model: the definition of :func:`model_metrics`."""
+    return cells(predictions).selectExpr("model", "valid", "attempted", "valid / attempted as success_rate")
 
 
 def _matrix_rows(counted: DataFrame) -> DataFrame:

@@ -276,8 +276,16 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
+def _native(df: DataFrame, feature: str) -> Column:
+    """Text that tells values apart which share a double: large longs and decimals. Empty for all others."""
+    c, kind = col(feature), df.schema[feature].dataType
+    if isinstance(kind, T.LongType):
+        return F.when(F.abs(c.cast("double")) >= 2**53, c.cast("string")).otherwise(F.lit(""))
+    return c.cast("string") if isinstance(kind, T.DecimalType) else F.lit("")
+
+
 def _long_values(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    pairs = [F.struct(F.lit(i).alias("feature_no"), value_or_null(df, f).cast("double").alias("value"))
+    pairs = [F.struct(F.lit(i).alias("feature_no"), value_or_null(df, f).cast("double").alias("value"), _native(df, f).alias("native"))
              for i, f in enumerate(features)]
     return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("value is not null")
 
@@ -301,7 +309,7 @@ def feature_summary(df: DataFrame, features: Sequence[str] | None = None, approx
 
     Moments and counts need one pass without a shuffle of values. Exact quartiles and distinct counts
     come from the merged value counts of all features, with running totals per value bucket, so no task
-    holds a whole column. ``approximate`` replaces those two by sketches and saves that shuffle.
+    holds a whole column. Statistics are doubles; distinct values are counted in the column's own type. ``approximate`` replaces those two by sketches and saves that shuffle.
     """
     features = summary_features(df, features)
     simple, extra = [], []
@@ -322,10 +330,15 @@ def feature_summary(df: DataFrame, features: Sequence[str] | None = None, approx
     if approximate:
         quartiles = [F.col("quartiles")[i].alias(q) for i, q in enumerate(QUARTILES)]
         return moments.select(*head, *quartiles, *tail, "unique_count")
-    ordered = ordered_totals(_long_values(df, features), ["feature_no"], "value", {"n": F.count("*")},
+    weights = {"n": F.count("*")}
+    unique = F.count("*")
+    if any(isinstance(df.schema[f].dataType, (T.LongType, T.DecimalType)) for f in features):
+        weights["distinct"] = F.count_distinct("native")    # native values per double; adds up over doubles
+        unique = F.sum("distinct")
+    ordered = ordered_totals(_long_values(df, features), ["feature_no"], "value", weights,
                              row_count=df.count() * len(features), rows_per_bucket=rows_per_bucket)
     ranks = ordered.groupBy("feature_no").agg(
-        *[_interpolated(share).alias(q) for q, share in QUARTILES.items()], F.count("*").alias("unique_count"))
+        *[_interpolated(share).alias(q) for q, share in QUARTILES.items()], unique.alias("unique_count"))
     return moments.join(ranks, "feature_no", "left").select(
         *head, *QUARTILES, *tail, F.coalesce("unique_count", F.lit(0)).alias("unique_count"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,12 +63,15 @@ def evaluate(spark: SparkSession, predictions: DataFrame, out: str, names: Seque
 
 def train_and_evaluate(spark: SparkSession, splits: DataFrame, out: str, features: Sequence[str], target: str, id_col: str,
                        names: Sequence[str] = tuple(training.MODEL_NAMES), n_folds: int = 5, tune: bool = False,
+                       grids: dict[str, dict] | None = None,
                        overrides: dict[str, dict] | None = None, partitions: int | None = None,
-                       parallelism: int = 2) -> dict:
+                       parallelism: int = 2, fit_rows: int | None = None) -> dict:
     """Cross-validate, optionally tune, train, vote, predict the test rows, evaluate, compare and store.
 
     ``splits`` has columns split (train/test) and fold. Below ``out``: ``fold_scores``, ``history``,
-    ``tuning``, ``status``, ``importance``, ``models``, ``predictions`` and the artefacts of :func:`evaluate`.
+    ``tuning``, ``status``, ``importance``, ``models``, ``predictions`` and the artefacts of :func:`evaluate`; a second
+    run replaces them. ``status`` has the outcome of every model's cross-validation and fit. ``fit_rows`` bounds the
+    labelled rows of each fit (see :func:`scorelake.models.training.fit_sample`); all test rows are scored.
     """
     table = training.assemble(splits, id_col, target, features, keep=["split", "fold"], partitions=partitions).persist()
     try:
@@ -75,28 +79,29 @@ def train_and_evaluate(spark: SparkSession, splits: DataFrame, out: str, feature
         folds = {r["fold"] for r in train.select("fold").distinct().collect()}
         if folds != set(range(n_folds)):
             raise ValueError(f"training rows have the folds {sorted(folds, key=str)}, asked are 0 to {n_folds - 1}")
-        overrides = dict(overrides or {})
+        overrides, history = dict(overrides or {}), []
         if tune:
-            found = tuning.random_search(train, names, n_folds=n_folds, parallelism=parallelism)
+            found = tuning.random_search(training.fit_sample(train, fit_rows), names, n_folds=n_folds, grids=grids, parallelism=parallelism)
             results = {n: r for n, r in found.items() if isinstance(r, tuning.SearchResult)}
             overrides |= {n: r.best_params for n, r in results.items()}
             failed = {n: r for n, r in found.items() if n not in results}
             if failed:
                 raise RuntimeError(f"tuning failed: {failed}")
-            for result in results.values():
-                scores = result.table(spark)
-                scores.write.mode("append").json(f"{out}/tuning")
-                training.append_history(training.history_rows(
-                    scores.where("position = 1"), "hyperparameter_tuning", str(result.best_params), "mean_score"), f"{out}/history")
+            searched = {n: r.table(spark) for n, r in results.items()}
+            tables.write_json(reduce(DataFrame.unionByName, searched.values()), f"{out}/tuning")
+            history += [training.history_rows(scores.where("position = 1"), "hyperparameter_tuning", str(results[n].best_params), "mean_score")
+                        for n, scores in searched.items()]
         estimators = training.registry(names, overrides)
 
-        scores = training.fold_scores(training.cross_validate(train, estimators, n_folds, parallelism))
+        failures: list[tuple[str, str, str]] = []
+        scores = training.fold_scores(training.cross_validate(train, estimators, n_folds, parallelism, fit_rows, failures))
         tables.write_json(scores, f"{out}/fold_scores")
         scores = tables.read_json(spark, f"{out}/fold_scores", scores.schema)
-        training.append_history(training.history_rows(
-            compare.cv_summary(scores), "cross_validation", f"{n_folds} folds", "mean_score"), f"{out}/history")
+        history.append(training.history_rows(compare.cv_summary(scores), "cross_validation", f"{n_folds} folds", "mean_score"))
+        tables.write_table(reduce(DataFrame.unionByName, history), f"{out}/history")
 
-        models, status = training.train_all(train, estimators, parallelism)
+        models, status = training.train_all(train, estimators, parallelism, fit_rows)
+        status += [(n, "cross-validation failed", error) for n, _, error in failures]
         tables.write_json(training.status_table(spark, status), f"{out}/status")
         model_store.save_models(spark, models, f"{out}/models")
         tables.write_importance(inspection.feature_importance(spark, models, features), f"{out}/importance")
@@ -114,22 +119,30 @@ def train_and_evaluate(spark: SparkSession, splits: DataFrame, out: str, feature
 def score_by_prompt(spark: SparkSession, test: DataFrame, out: str, features: Sequence[str], target: str, id_col: str,
                     models: Sequence[str], scorer: scoring.Scorer, sample_size: int | None = None,
                     partitions: int | None = None, target_name: str = "Health Status", seed: int = config.RANDOM_STATE,
-                    **options) -> DataFrame:
+                    slices: int = 1, **options) -> DataFrame:
     """Score one shared sample with every model and evaluate; returns the metrics.
 
-    Answers are stored below ``out/responses`` model by model; rows already there are not asked again.
+    Answers are stored below ``out/responses`` by model and in ``slices`` pieces of the rows, so a run that stops loses
+    one piece; rows already there are not asked again. A model without any answer is an error. Only the answers of
+    these models for this sample are evaluated.
     """
     sample = scoring.evaluation_sample(test, id_col, sample_size, seed)
-    for model in models:
-        pending = scoring.prompts(sample, id_col, target, features, [model], target_name)
+    if partitions:      # rows move, not the prompts made from them
+        sample = sample.repartition(partitions, id_col)
+    for model, piece in [(m, i) for m in models for i in range(slices)]:
+        of_piece = sample.where(F.pmod(F.xxhash64(id_col), F.lit(slices)) == piece)
+        pending = scoring.prompts(of_piece, id_col, target, features, [model], target_name)
         try:
             pending = scoring.unscored(pending, spark.read.parquet(f"{out}/responses"))
         except Exception as e:
             if getattr(e, "getCondition", lambda: None)() != "PATH_NOT_FOUND":
                 raise
-        answers = scoring.score(pending, scorer, partitions=partitions, **options)
-        answers.write.mode("append").parquet(f"{out}/responses")
-    responses = spark.read.parquet(f"{out}/responses")
+        scoring.score(pending, scorer, **options).write.mode("append").parquet(f"{out}/responses")
+    asked = sample.select(F.col(id_col).cast("long").alias("row_id"))
+    responses = spark.read.parquet(f"{out}/responses").where(F.col("model").isin(list(models))).join(asked, "row_id", "left_semi")
+    silent = responses.groupBy("model").agg(F.count("raw").alias("answers"), F.max("error").alias("error")).where("answers = 0").collect()
+    if silent:
+        raise RuntimeError("no answer at all: " + "; ".join(f"{r['model']}: {r['error']}" for r in silent))
     record = scoring.scored_metrics(responses)
     tables.write_json(record, f"{out}/metrics")
     record = tables.read_json(spark, f"{out}/metrics", record.schema)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scorelake.operators import compare, curves, metrics, significance
 from scorelake.operators.sampling import ordered_folds
+from scorelake.plans import evaluate
 from scorelake.queries import inputs
 from scorelake.queries.inputs import IMPORTANCE_SQL, PREDICTIONS_SQL
 from scorelake.queries.registry import query
@@ -214,10 +215,8 @@ union all select 'rankings', count(distinct model) * 5 from predictions
 union all select 'curves', 2 * (count(distinct (model, score)) + count(distinct model)) from predictions""")
 def metrics_sink(spark, sf_dir):
     rows = inputs.predictions(spark, sf_dir)
-    record = metrics.model_metrics(rows)
     root = scratch_path(spark, "evaluation")
-    tables.write_evaluation(root, record, compare.metric_rankings(record),
-                            curves.curve_points(curves.threshold_table(rows)))
+    evaluate(spark, rows, root)
 
     def count(df, name):
         return df.agg(F.count("*").alias("total_rows")).select(F.lit(name).alias("artefact"), "total_rows")
@@ -304,10 +303,14 @@ def _fold_scores(spark, sf_dir):
 
 
 @query("cv_summary", PREDICTIONS_SQL, _FOLD_SCORES, """
-select model, count(value) as folds, round(avg(value), 6) as mean_score, round(stddev_pop(value), 6) as std_score
+select model, count(value) as folds, round(avg(value), 6) as mean_score, round(stddev_pop(value), 6) as std_score,
+  round(max(value) filter (where fold = 0), 6) as score_0, round(max(value) filter (where fold = 1), 6) as score_1,
+  round(max(value) filter (where fold = 2), 6) as score_2, round(max(value) filter (where fold = 3), 6) as score_3,
+  round(max(value) filter (where fold = 4), 6) as score_4
 from scores group by model""")
 def cv_summary(spark, sf_dir):
-    return compare.cv_summary(_fold_scores(spark, sf_dir))
+    found = compare.cv_summary(_fold_scores(spark, sf_dir))
+    return found.select("*", *[F.col("fold_scores")[i].alias(f"score_{i}") for i in range(5)]).drop("fold_scores")
 
 
 @query("paired_t_stat", PREDICTIONS_SQL, _FOLD_SCORES, """

@@ -26,12 +26,7 @@ _tables: dict[tuple, DataFrame] = {}
 _models: dict[tuple, object] = {}
 
 
-ROWS_PER_PARTITION = 10_000
-
-
-def _partitions(df: DataFrame) -> int:
-    """Enough pieces to keep the cores busy, not so many that scheduling outweighs the work."""
-    return max(1, min(df.sparkSession.sparkContext.defaultParallelism, df.count() // ROWS_PER_PARTITION))
+ROWS_PER_PARTITION = 12_500
 
 
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +35,7 @@ def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _tables:
         split = sampling.stratified_split(inputs.planted(spark, sf_dir), "row_id", "y")
         _tables[key] = training.assemble(
-            split, "row_id", "y", FEATURES, keep=["split"], partitions=_partitions(split)).persist()
+            split, "row_id", "y", FEATURES, keep=["split"], rows_per_partition=ROWS_PER_PARTITION).persist()
     return _tables[key]
 
 
@@ -138,7 +133,7 @@ def model_roundtrip(spark, sf_dir):
 def _folds(spark, sf_dir, n):
     folded = sampling.ordered_folds(inputs.planted(spark, sf_dir), "row_id", "y", n)
     return training.assemble(
-        folded, "row_id", "y", FEATURES, keep=["fold"], partitions=_partitions(folded)).persist()
+        folded, "row_id", "y", FEATURES, keep=["fold"], rows_per_partition=ROWS_PER_PARTITION).persist()
 
 
 @query("cross_validate")
@@ -146,7 +141,7 @@ def cross_validate(spark, sf_dir):
     """Five folds of the forest and the logistic regression: mean and deviation of the fold accuracies."""
     estimators = training.registry(["RandomForest", "LogisticRegression"])
     found = training.cross_validate(_folds(spark, sf_dir, 5), estimators, 5, parallelism=4)
-    return compare.cv_summary(training.fold_scores(found))
+    return compare.cv_summary(training.fold_scores(found)).drop("fold_scores")
 
 
 @query("grid_search")
@@ -168,7 +163,9 @@ def train_cv(spark, sf_dir):
     table = _folds(spark, sf_dir, 5)
     estimators = training.registry(["LogisticRegression"])
     summary = compare.cv_summary(training.fold_scores(training.cross_validate(table, estimators, 5, parallelism=4)))
-    training.train_all(table, estimators)
+    _, status = training.train_all(table, estimators)
+    if any(s != "trained" for _, s, _ in status):
+        raise RuntimeError(f"training failed: {status}")
     path = scratch_path(spark, "history")
     training.append_history(training.history_rows(summary, "cross_validation", "5 folds", "mean_score"), path)
     return training.training_summary(spark.read.parquet(path)).drop("trained_at")
@@ -201,6 +198,7 @@ def soft_vote(spark, sf_dir):
 
 # --- prompt scoring --------------------------------------------------------------------------
 
+# The wording of the prompt.
 _PROMPT_SQL = """
 'You are a clinical prediction expert. Based on the following health and demographic features, predict the Health Status (0 = Good Health, 1 = Poor Health).'
   || chr(10) || chr(10) || 'Features:' || chr(10)
@@ -279,18 +277,18 @@ scored as (
 
 def _responses(spark, sf_dir, models):
     pending = scoring.prompts(inputs.features(spark, sf_dir), "row_id", "y", FEATURES, models)
-    return scoring.score(pending, threshold_scorer(), partitions=spark.sparkContext.defaultParallelism)
+    return scoring.score(pending, threshold_scorer())
 
 
 @query("batch_score", FEATURES_SQL, _SCORED_SQL,
-       "select model, row_id, y, raw, attempts, pred from scored where model = 'alpha'")
+       "select model, row_id, y, raw, attempts, pred, cast(null as varchar) as error from scored where model = 'alpha'")
 def batch_score(spark, sf_dir):
-    return _responses(spark, sf_dir, ["alpha"]).drop("prompt")
+    return _responses(spark, sf_dir, ["alpha"])
 
 
-@query("score_all_models", FEATURES_SQL, _SCORED_SQL, "select model, row_id, y, raw, attempts, pred from scored")
+@query("score_all_models", FEATURES_SQL, _SCORED_SQL, "select model, row_id, y, raw, attempts, pred, cast(null as varchar) as error from scored")
 def score_all_models(spark, sf_dir):
-    return _responses(spark, sf_dir, ["alpha", "beta"]).drop("prompt")
+    return _responses(spark, sf_dir, ["alpha", "beta"])
 
 
 @query("resume_scoring", FEATURES_SQL, _SCORED_SQL, "select model, row_id, attempts, pred from scored")
@@ -300,7 +298,7 @@ def resume_scoring(spark, sf_dir):
     _responses(spark, sf_dir, ["alpha"]).write.mode("append").parquet(path)
     pending = scoring.prompts(inputs.features(spark, sf_dir), "row_id", "y", FEATURES, ["alpha", "beta"])
     left = scoring.unscored(pending, spark.read.parquet(path))
-    scoring.score(left, threshold_scorer(), partitions=spark.sparkContext.defaultParallelism).write.mode("append").parquet(path)
+    scoring.score(left, threshold_scorer()).write.mode("append").parquet(path)
     return spark.read.parquet(path).select("model", "row_id", "attempts", "pred")
 
 

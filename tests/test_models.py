@@ -196,7 +196,36 @@ def test_history_is_numbered(spark, tmp_path):
     assert math.isfinite(rows[0].trained_at.timestamp())
 
 
-def test_too_many_classes(spark):
+def test_labels_are_zero_and_one(spark):
     df = spark.range(300).select(F.col("id").alias("y"))
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="other than 0 and 1"):
         stages.class_counts(df, "y")
+    with pytest.raises(ValueError, match="missing"):
+        stages.class_counts(df.select(F.when(F.col("y") > 1, None).otherwise(F.col("y")).alias("y")), "y")
+    assert stages.class_counts(df.where("y = 1"), "y") == {1.0: 1}
+
+
+def test_a_failing_model_does_not_end_cross_validation(spark, ring):
+    estimators = training.registry(["LogisticRegression"]) | {"broken": training.build("SVM", kernel="none")}
+    failures = []
+    found = training.cross_validate(ring, estimators, 3, failures=failures)
+    assert {r.model for r in found.select("model").distinct().collect()} == {"LogisticRegression"}
+    assert [(n, s) for n, s, _ in failures] == [("broken", "failed")] and "kernel" in failures[0][2]
+    with pytest.raises(RuntimeError, match="broken"):
+        training.cross_validate(ring, estimators, 3)
+
+
+def test_fit_rows_bound_the_fit_but_not_the_scoring(spark, ring):
+    bounded = training.fit_sample(ring, 100)
+    assert bounded.count() == 100
+    share = [ring.where("y = 1").count() / 400, bounded.where("y = 1").count() / 100]
+    assert abs(share[0] - share[1]) < 0.02
+    models, status = training.train_all(ring, training.registry(["LogisticRegression"]), fit_rows=100)
+    alone = training.registry(["LogisticRegression"])["LogisticRegression"].fit(bounded)
+    assert status[0][1] == "trained" and training.predict(models, ring).count() == 400
+    assert models["LogisticRegression"].stages[0].coefficients == alone.stages[0].coefficients
+
+
+def test_an_empty_fold_is_named(ring):
+    with pytest.raises(ValueError, match="fold"):
+        tuning.grid_search(ring, "LogisticRegression", {"C": [1.0]}, n_folds=4)

@@ -93,6 +93,31 @@ def test_workflows(spark, sf_dir, tmp_path):
     assert [(r.attempted, r.valid) for r in record.collect()] == [(40, 40)] * 2
     assert spark.read.parquet(str(tmp_path / "prompts" / "responses")).count() == 80
 
+    def stops(model, prompts):
+        raise RuntimeError("no key")
+
+    with pytest.raises(RuntimeError, match="no key"):
+        score_by_prompt(spark, test, str(tmp_path / "silent"), inputs.FEATURES, "y", "row_id", ["a"], stops, 40)
+    pieces = str(tmp_path / "pieces")
+    score_by_prompt(spark, test, pieces, inputs.FEATURES, "y", "row_id", ["a"], scorer, 40, slices=3)
+    again = score_by_prompt(spark, test, pieces, inputs.FEATURES, "y", "row_id", ["a"], stops, 40, slices=3)
+    assert [(r.model, r.attempted, r.valid) for r in again.collect()] == [("a", 40, 40)]
+
+
+def test_tuning_changes_the_model_and_runs_replace_each_other(spark, sf_dir, tmp_path):
+    out = str(tmp_path / "prepared")
+    prepare(spark, inputs.planted(spark, sf_dir), out, inputs.FEATURES, "y", "row_id", sample_size=50, n_folds=3)
+    splits, run = spark.read.parquet(f"{out}/splits"), str(tmp_path / "run")
+    for _ in range(2):
+        got = train_and_evaluate(spark, splits, run, inputs.FEATURES, "y", "row_id", names=["LogisticRegression"], n_folds=3,
+                                 tune=True, grids={"LogisticRegression": {"C": [0.0001, 10.0], "maxIter": [50]}}, fit_rows=600)
+    tuned = spark.read.json(f"{run}/tuning").collect()
+    assert len(tuned) == 2 and {r.position for r in tuned} == {1, 2}
+    best = next(r for r in tuned if r.position == 1)
+    history = spark.read.parquet(f"{run}/history").collect()
+    assert sorted(r.method for r in history) == ["cross_validation", "hyperparameter_tuning"]
+    assert "50" in best.params and got["metrics"].count() == 1
+
 
 def test_prepare_stops_on_errors(spark, tmp_path):
     df = spark.createDataFrame([(1, 0), (2, 0)], "id long, y int")
