@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.operators import profile, sampling
+from scorelake.plans import prepare
 from scorelake.queries import inputs
 from scorelake.queries.inputs import DIRTY_SQL, FEATURES, FEATURES_SQL, IMPORTANCE_SQL, PREDICTIONS_SQL
 from scorelake.queries.registry import query
@@ -61,7 +62,7 @@ def scan_guard(spark, sf_dir):
             .select(F.explode(found).alias("f"), "total_rows").select("f.*", "total_rows"))
 
 
-def _split_sql(table, test_size="0.3"):
+def split_sql(table, test_size="0.3"):
     """Stratified split by ranking every row, as a check of the cut keys."""
     return f"""
 c as (select y, count(*) as c from {table} group by y),
@@ -75,7 +76,7 @@ split as (select r.*, case when rn <= quota then 'train' else 'test' end as spli
 """
 
 
-@query("split_sink", FEATURES_SQL, _split_sql("features"),
+@query("split_sink", FEATURES_SQL, split_sql("features"),
        "select row_id, round(f_value, 6) as f_value, f_user, f_hour, f_k, y, split from split")
 def split_sink(spark, sf_dir):
     split = sampling.stratified_split(inputs.features(spark, sf_dir), "row_id", "y")
@@ -97,7 +98,7 @@ balance as (
 """
 
 
-@query("split_metadata", FEATURES_SQL, _split_sql("features"), _BALANCE_SQL, """
+@query("split_metadata", FEATURES_SQL, split_sql("features"), _BALANCE_SQL, """
 select max(case when split = 'train' then total_samples end) as train_samples,
   max(case when split = 'test' then total_samples end) as test_samples,
   'f_value,f_user,f_hour,f_k' as features,
@@ -336,6 +337,14 @@ def feature_summary_bucketed(spark, sf_dir):
         inputs.table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"], rows_per_bucket=20_000)
 
 
+@query("large_integer_summary", """
+select 'big' as feature, count(*) as value_count, count(distinct 9007199254740993 + l_orderkey) as unique_count from lineitem""")
+def large_integer_summary(spark, sf_dir):
+    """Integers that share doubles are counted apart."""
+    rows = inputs.table(spark, sf_dir, "lineitem").select((F.lit(9007199254740993) + F.col("l_orderkey")).alias("big"))
+    return profile.feature_summary(rows, ["big"]).select("feature", "value_count", "unique_count")
+
+
 @query("class_weights", FEATURES_SQL, """
 select y as class_value, count(*) as class_count,
   round(sum(count(*)) over () / (count(*) over () * count(*)), 6) as class_weight from features group by y""")
@@ -345,12 +354,12 @@ def class_weights(spark, sf_dir):
 
 # --- splits, samples, folds ------------------------------------------------------------------
 
-@query("stratified_split", FEATURES_SQL, _split_sql("features"), "select row_id, y, split from split")
+@query("stratified_split", FEATURES_SQL, split_sql("features"), "select row_id, y, split from split")
 def stratified_split(spark, sf_dir):
     return sampling.stratified_split(inputs.features(spark, sf_dir), "row_id", "y").select("row_id", "y", "split")
 
 
-@query("stratified_split_bucketed", FEATURES_SQL, _split_sql("features"), "select row_id, y, split from split")
+@query("stratified_split_bucketed", FEATURES_SQL, split_sql("features"), "select row_id, y, split from split")
 def stratified_split_bucketed(spark, sf_dir):
     """The form used on large tables: several rounds of prefix counts."""
     return sampling.stratified_split(inputs.features(spark, sf_dir), "row_id", "y", ranked_rows=2).select(
@@ -393,10 +402,10 @@ def shuffle_key(spark, sf_dir):
     return sampling.with_shuffle_key(inputs.features(spark, sf_dir).select("row_id"), "row_id")
 
 
-def _folds_sql(order, k):
+def _folds_sql(order, k, table="features"):
     return f"""
 laid as (select row_id, y, row_number() over (order by y, {order}) - 1 as pos,
-                row_number() over (partition by y order by {order}) as rn from features),
+                row_number() over (partition by y order by {order}) as rn from {table}),
 sizes as (select y, pos % {k} as f, count(*) as size from laid group by 1, 2),
 ends as (select y, f, sum(size) over (partition by y order by f) as last from sizes)
 """, """
@@ -409,12 +418,44 @@ def stratified_folds(spark, sf_dir):
     return sampling.stratified_folds(inputs.features(spark, sf_dir), "row_id", "y").select("row_id", "y", "fold")
 
 
+_MANY_SQL = "many as (select row_id, cast(row_id % 150 as integer) as y from features)"
+
+
+def _many(spark, sf_dir):
+    """A target of 150 classes."""
+    return inputs.features(spark, sf_dir).select("row_id", (F.col("row_id") % 150).cast("int").alias("y"))
+
+
+@query("stratified_split_many_classes", FEATURES_SQL, _MANY_SQL, split_sql("many"), "select row_id, y, split from split")
+def stratified_split_many_classes(spark, sf_dir):
+    return sampling.stratified_split(_many(spark, sf_dir), "row_id", "y")
+
+
+@query("stratified_folds_many_classes", FEATURES_SQL, _MANY_SQL, *_folds_sql("md5(concat_ws('|', 42, row_id))", 5, "many"))
+def stratified_folds_many_classes(spark, sf_dir):
+    return sampling.stratified_folds(_many(spark, sf_dir), "row_id", "y")
+
+
+_PREPARED_FOLDS = _folds_sql("md5(concat_ws('|', 43, row_id))", 5, "train")
+
+
+@query("prepared_folds", FEATURES_SQL, split_sql("features"), "train as (select row_id, y from split where split = 'train')",
+       _PREPARED_FOLDS[0], f"""
+select 'train' as split, fold, y, count(*) as total_rows from ({_PREPARED_FOLDS[1]}) f group by fold, y
+union all select 'test', null, y, count(*) from split where split = 'test' group by y""")
+def prepared_folds(spark, sf_dir):
+    """Rows per split, fold and class as the workflow stores them: folds divide the training rows."""
+    path = scratch_path(spark, "prepared")
+    prepare(spark, inputs.features(spark, sf_dir), path, FEATURES, "y", "row_id")
+    return spark.read.parquet(f"{path}/splits").groupBy("split", "fold", "y").agg(F.count("*").alias("total_rows"))
+
+
 @query("ordered_folds", FEATURES_SQL, *_folds_sql("row_id", 3))
 def ordered_folds(spark, sf_dir):
     return sampling.ordered_folds(inputs.features(spark, sf_dir), "row_id", "y", 3).select("row_id", "y", "fold")
 
 
-@query("split_summary", FEATURES_SQL, _split_sql("features"), _BALANCE_SQL, """
+@query("split_summary", FEATURES_SQL, split_sql("features"), _BALANCE_SQL, """
 select split, class_value, class_count, class_proportion, total_samples, majority_class, minority_class,
   imbalance_ratio, 4 as n_features from balance""")
 def split_summary(spark, sf_dir):
