@@ -27,8 +27,9 @@ from scorelake.llm.chunks import Pieces
 from scorelake.llm.common import map_batches, text_of
 
 LONG = 256                       # bytes; longer words take the step-by-step form
-STATE_ROWS = 4_000_000           # rows of all steps of one recursive query, at most
-MEMORY = "400MB"
+STATE_ROWS = 500_000             # rows of all steps of one recursive query, but for a single word
+BLOCK = 32_768                   # new pieces that are encoded and decoded together
+MEMORY = "250MB"
 
 ENCODE = """
 with recursive state(step, word, pos, id) as (
@@ -84,7 +85,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class DuckCodec(Pieces):
     """Encoder and decoder of one worker, with the ids, their decimal text and the decoded bytes of known pieces."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 600_000):
+    def __init__(self, path: str, pattern: str, limit: int = 250_000):
         import duckdb
         import regex
 
@@ -94,10 +95,12 @@ class DuckCodec(Pieces):
                  for k in range(1, len(token)) if token[:k] in self.ranks and token[k:] in self.ranks]
         first, second, merged = (np.array(x, np.int32) for x in zip(*pairs, strict=True))
         bold = np.concatenate([first[merged < first], second[merged < second]])   # a pair with it ranks below it
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={
+            "threads": 1, "memory_limit": MEMORY, "temp_directory": "", "allocator_flush_threshold": "8MB"})
         self._load("merges", first_id=first, second_id=second, merged=merged, alone=~np.isin(merged, bold))
         self._load("vocabulary", id=np.array(list(self.ranks.values()), np.int32),
                    bytes=pa.array(list(self.ranks), pa.binary()))
+        self.decimal, self.raw = [b""], [b""]
         super().__init__(self._encode, limit)
 
     def _load(self, name: str, **columns) -> None:
@@ -105,9 +108,8 @@ class DuckCodec(Pieces):
         self.db.execute(f"create or replace temp table {name} as select * from given").fetchall()
         self.db.unregister("given")
 
-    def _clear(self) -> None:
-        super()._clear()
-        self.decimal, self.raw = [""], [b""]
+    def _keep(self, kept: np.ndarray) -> None:
+        self.decimal, self.raw = ([held[k] for k in kept.tolist()] for held in (self.decimal, self.raw))
 
     def _symbols(self, words: list[bytes]) -> dict[str, np.ndarray]:
         sizes = np.array([len(w) for w in words])
@@ -157,7 +159,7 @@ class DuckCodec(Pieces):
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """Bytes of consecutive runs of ids: run k has ``counts[k]`` of them."""
         out = [b""] * len(counts)
-        for start, stop in _slices(counts, 500_000):
+        for start, stop in _slices(counts, 100_000):
             size = counts[start:stop]
             begins = np.cumsum(size) - size
             first = int(counts[:start].sum())
@@ -170,13 +172,17 @@ class DuckCodec(Pieces):
         return out
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        blocks = [self._block(pieces[k:k + BLOCK]) for k in range(0, len(pieces), BLOCK)]
+        return tuple(map(np.concatenate, zip(*blocks, strict=True)))
+
+    def _block(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         numbers: dict[str, int] = {}
         made = [[numbers.setdefault(word, len(numbers)) for word in self.pattern.findall(piece)] for piece in pieces]
         known = self.words([word.encode() for word in numbers])
         each = [np.concatenate([known[k] for k in ks]) if len(ks) > 1 else known[ks[0]] for ks in made]
         lengths = np.array([len(x) for x in each], np.int64)
         ids = np.concatenate(each)
-        self.decimal += [",".join(map(str, x.tolist())) for x in each]
+        self.decimal += [",".join(map(str, x.tolist())).encode() for x in each]
         self.raw += self.decode(ids, lengths)
         return ids, lengths
 
@@ -234,14 +240,14 @@ def roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         pieces, sizes = known.numbers(batch.column(1))
         edges = np.concatenate([[0], np.cumsum(sizes)])
         counts = np.diff(np.concatenate([[0], np.cumsum(known.lengths[pieces])])[edges])
-        listed, ids_sha, raw_sha = pieces.tolist(), [], []
+        ids_sha, raw_sha = [], []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            own = listed[a:b]
-            ids_sha.append(sha256(",".join([known.decimal[k] for k in own if k]).encode()).hexdigest())
+            own = pieces[a:b].tolist()
+            ids_sha.append(sha256(b",".join([known.decimal[k] for k in own if k])).hexdigest())
             raw_sha.append(sha256(b"".join([known.raw[k] for k in own])).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(ids_sha), pa.array(raw_sha)],
                                           ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     id_type = chosen.schema["id"].dataType.simpleString()
     return map_batches(chosen, f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string", work,
-                       rows=4096).withColumnRenamed("id", id_col)
+                       rows=1024).withColumnRenamed("id", id_col)

@@ -44,17 +44,32 @@ def joined(texts: list[str], encode: Callable[[list[str]], list], byte_lengths:
 class Pieces:
     """Cache of encoded pieces over an :data:`Encode`.
 
-    ``limit`` bounds the memory of the cache (pieces and ids), not the work: beyond it the cache starts anew."""
+    ``limit`` (pieces) and ``characters`` (of them) bound the memory of the cache, not the work: beyond either, the pieces
+    that were met most often stay, up to half of both, and the rest is encoded anew when it is met again."""
 
-    def __init__(self, encode: Encode, limit: int = 600_000):
-        self.encode, self.limit = encode, limit
-        self._clear()
-
-    def _clear(self) -> None:
+    def __init__(self, encode: Encode, limit: int = 250_000, characters: int = 8_000_000):
+        self.encode, self.limit, self.characters = encode, limit, characters
         self.known: dict[str, int] = {"": 0}
         self.new: list[str] = []
+        self.held, self.hits = 0, np.zeros(1, np.int64)
         self.ids, self.lengths, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
+    def _shrink(self) -> None:
+        often = np.argsort(-self.hits, kind="stable")
+        often = often[(self.hits[often] > 1) & (often > 0)][:self.limit // 2]
+        names = list(self.known)
+        sizes = np.array([len(names[k]) for k in often.tolist()], np.int64)
+        kept = np.concatenate([[0], np.sort(often[np.cumsum(sizes) <= self.characters // 2])])
+        self.known = {names[k]: number for number, k in enumerate(kept.tolist())}
+        self.held, self.hits = sum(map(len, self.known)), self.hits[kept] // 2
+        starts, self.lengths = self.starts[kept], self.lengths[kept]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.ids = self.ids[np.arange(self.lengths.sum()) + np.repeat(starts - self.starts, self.lengths)]
+        self._keep(kept)
+
+    def _keep(self, kept: np.ndarray) -> None:
+        """What else is held per piece is cut down to ``kept``."""
+
     def _number(self, texts: list[str]) -> np.ndarray:
         known, new = self.known, self.new
         out = []
@@ -63,13 +78,14 @@ class Pieces:
             if number is None:
                 number = known[text] = len(known)
                 new.append(text)
+                self.held += len(text)
             out.append(number)
         return np.array(out, np.int64)
 
     def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of all texts in one array, and the number of pieces of each text (at least one)."""
-        if len(self.known) > self.limit:
-            self._clear()
+        if len(self.known) > self.limit or self.held > self.characters:
+            self._shrink()
         if not len(texts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         texts = texts.cast(pa.large_string())
@@ -85,9 +101,13 @@ class Pieces:
         if self.new:
             ids, lengths = self.encode(self.new)
             self.new = []
+            pa.default_memory_pool().release_unused()
             self.ids = np.concatenate([self.ids, ids.astype(np.int32, copy=False)])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.starts = np.cumsum(self.lengths) - self.lengths
+        seen = np.bincount(pieces, minlength=len(self.lengths))
+        seen[:len(self.hits)] += self.hits
+        self.hits = seen
         return pieces, sizes
 
     def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

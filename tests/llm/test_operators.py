@@ -5,6 +5,7 @@ import re
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -117,6 +118,24 @@ def test_long_words(encoding):
         assert ids.tolist() == encoding.encode_ordinary(word)
 
 
+@pytest.mark.parametrize("limit, characters", [(0, 10**6), (8, 10**6), (10**6, 60)])
+def test_full_caches(encoding, limit, characters):
+    """A cache that is always full gives the same ids, texts and bytes, and forgets."""
+    known = bpe.codec(RANKS, P.PATTERN).__class__(RANKS, P.PATTERN, limit)
+    known.characters = characters
+    texts = [t or "" for _, t in TEXTS]
+    for start in [*range(0, len(texts), 4)] * 3:
+        part = texts[start:start + 4]
+        ids, counts = known.tokens(pa.array(part))
+        assert ids.tolist() == [i for t in part for i in encoding.encode_ordinary(t)]
+        assert counts.tolist() == [len(encoding.encode_ordinary(t)) for t in part]
+        for piece, number in known.known.items():
+            assert known.raw[number] == piece.encode()
+            assert known.decimal[number] == ",".join(map(str, encoding.encode_ordinary(piece))).encode()
+    known._shrink()
+    assert len(known.known) <= limit // 2 + 1 and known.held <= characters // 2
+
+
 def test_pii(docs, empty):
     found = pii.report(docs)
     want = sorted(((i, *brute.pii(t)[0], brute.pii(t)[1]) for i, t in TEXTS), key=repr)
