@@ -47,7 +47,7 @@ class Pieces:
     ``limit`` (pieces) and ``characters`` (of them) bound the memory of the cache, not the work: beyond either, the pieces
     that were met most often stay, up to half of both, and the rest is encoded anew when it is met again."""
 
-    def __init__(self, encode: Encode, limit: int = 250_000, characters: int = 8_000_000):
+    def __init__(self, encode: Encode, limit: int = 600_000, characters: int = 16_000_000):
         self.encode, self.limit, self.characters = encode, limit, characters
         self.known: dict[str, int] = {"": 0}
         self.new: list[str] = []
