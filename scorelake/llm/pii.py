@@ -36,7 +36,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": rf"(?<=(?i:{_SECRET_WORDS})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?)[A-Za-z0-9+/_=-]{{16,256}}",
+    "secret": rf"(?<=(?i:{_SECRET_WORDS})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?)[A-Za-z0-9+/_=-]{{16,}}+",
     "person": rf"\b(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?",
 }
 # A text without this cannot match; it spares the pattern a pass.
@@ -52,7 +52,7 @@ _GAZETTEER = {
     "card": r"^[3-6]",
     "phone": r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
     "ssn": r"^(?!000|666|9)",
-    "secret": r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]",
+    "secret": r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])",
     "person": rf"(?i)\b({_GIVEN_NAMES})\b",
 }
 _STRICT = {
