@@ -25,7 +25,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm.common import map_batches, stored, text_bytes
@@ -247,9 +247,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class: the smallest document id, of rows with equal ids the smallest text."""
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    chosen = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept"))).drop("__kept")
-    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
-    return chosen.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+    """One row of each class: the smallest document id, of rows with equal ids the smallest text.
+
+    Ids may be null or repeated, so a row is known by its id and the digest of its text, and a class by the least of these."""
+    digest = F.unhex(F.sha2(text_bytes(text_col), 256))
+    row = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), digest.alias("digest"))
+    found = near_duplicates(docs.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text")
+    kept = found.where(F.col("row.id").eqNullSafe(F.col("component_id.id"))).select(
+        F.col("row.id").alias("__id"), F.col("row.digest").alias("__digest"), F.col("component_id").alias("__class")).distinct()
+    chosen = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest")))
+    first = F.min_by(F.struct(*map(F.col, docs.columns)), F.struct(text_col))
+    return chosen.groupBy("__class").agg(first.alias("__row")).select("__row.*")
