@@ -66,13 +66,13 @@ def mark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     """``docs`` with the columns of :func:`find`, their names led by two underscores."""
     spark = docs.sparkSession
     windows = stored(windows_of(items, item_id, item_text, window, shingle), "windows")
-    # Full lower case merges a superset of what A-Z lower case merges, never moves a word's end, and costs less.
-    parts = windows.select("words", "items", "size", "step", F.transform("words", F.lower).alias("low"))
+    # Both sides are in A-Z lower case: full lower case of a capital sigma depends on the letters around it.
+    parts = windows.select("words", "items", "size", "step")
     steps = sorted(r.step for r in parts.select("step").distinct().collect())          # at most SHINGLE values
     every = None
     for step in steps:
         own = parts.where(F.col("step") == step).select(
-            "words", "items", "size", F.lit(step).alias("step"), F.posexplode(_shingles(F.col("low"), step)).alias("at", "h"))
+            "words", "items", "size", F.lit(step).alias("step"), F.posexplode(_shingles(F.col("words"), step)).alias("at", "h"))
         every = own if every is None else every.union(own)
     chosen = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     if every is None:
@@ -101,8 +101,7 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, candidates: DataFrame
 
 def _candidates(spark: SparkSession, docs: DataFrame, shingles: DataFrame, steps: list[int]) -> DataFrame:
     """``__id, __th, __found``: per document the starts at which the rarest shingle of a window lies within bounds."""
-    words = docs.select("id", F.xxhash64("text").alias("th"),
-                        F.regexp_extract_all(F.lower("text"), F.lit(_WORDS), F.lit(0)).alias("low"))
+    words = docs.select("id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("low"))
     words = words.withColumn("n", F.size("low"))
     known = stored(shingles.select("h").distinct(), "known-shingles")
     small = known.count() <= BROADCAST_ROWS
