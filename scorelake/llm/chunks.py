@@ -8,7 +8,8 @@ once per worker: most words of a corpus are repeated.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +46,12 @@ class Pieces:
     """Cache of encoded pieces over an :data:`Encode`.
 
     ``limit`` (pieces) and ``characters`` (of them) bound the memory of the cache, not the work: beyond either, the pieces
-    that were met most often stay, up to half of both, and the rest is encoded anew when it is met again."""
+    that were met most often stay, up to half of both, and the rest is encoded anew when it is met again. Texts that
+    hold one of the ``literals`` stay one piece."""
 
-    def __init__(self, encode: Encode, limit: int = 600_000, characters: int = 16_000_000):
+    def __init__(self, encode: Encode, limit: int = 600_000, characters: int = 16_000_000, literals: Sequence[str] = ()):
         self.encode, self.limit, self.characters = encode, limit, characters
+        self.unsafe = "|".join([_UNSAFE, *map(re.escape, literals)])
         self.known: dict[str, int] = {"": 0}
         self.new: list[str] = []
         self.held, self.hits = 0, np.zeros(1, np.int64)
@@ -89,7 +92,7 @@ class Pieces:
         if not len(texts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         texts = texts.cast(pa.large_string())
-        whole = pc.match_substring_regex(texts, _UNSAFE)
+        whole = pc.match_substring_regex(texts, self.unsafe)
         parts = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         heads = np.cumsum(sizes) - sizes

@@ -8,7 +8,7 @@ and every file carries page indexes. So a reader that wants counts or a range of
 ``read`` returns, from the files, each document's place in the whole sequence of ids. Only two numbers per document
 are shuffled for it, and only one row per part is summed in one task.
 
-Defined cases: a null or empty text has the end id alone; null document ids come first; rows with equal ids are ordered
+Defined cases: a null or empty text has the end id alone; a special token written out in a text gets its own id; null document ids come first; rows with equal ids are ordered
 by their text; an empty table gives no rows; other columns of the input are ignored.
 """
 
@@ -39,17 +39,19 @@ FILE_OPTIONS = {
 }
 PART_BYTES = 64 << 20
 
-_workers: dict[str, Pieces] = {}
+_workers: dict[tuple[str, bool], Pieces] = {}
 
 
-def tokenizer_pieces(path: str) -> Pieces:
-    """The worker's cache over the tokeniser at ``path``; special tokens in a text are ordinary text."""
-    if path not in _workers:
+def tokenizer_pieces(path: str, special_as_text: bool = False) -> Pieces:
+    """The worker's cache over the tokeniser at ``path``. Added tokens written out in a text get their own ids, as by the
+    library's plain call; with ``special_as_text`` special ones are ordinary text."""
+    if (path, special_as_text) not in _workers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = special_as_text
+        added = [x.content for x in tokenizer.get_added_tokens_decoder().values() if not (special_as_text and x.special)]
         byte_lengths = np.zeros(tokenizer.get_vocab_size(), np.int64)
         for token, number in tokenizer.get_vocab().items():
             byte_lengths[number] = len(token)               # one character stands for one byte
@@ -58,7 +60,7 @@ def tokenizer_pieces(path: str) -> Pieces:
             return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
         def encode(texts):
-            plain = np.array([len(t) > 1 and t[0] == " " and not t[1].isspace() for t in texts])
+            plain = np.array([len(t) > 1 and t[0] == " " and not t[1].isspace() and not any(x in t for x in added) for t in texts])
             ids, lengths = [], np.zeros(len(texts), np.int64)
             order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
             if plain.any():
@@ -74,12 +76,12 @@ def tokenizer_pieces(path: str) -> Pieces:
             bounds = np.concatenate([[0], np.cumsum(lengths)])
             return flat[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], lengths)], lengths
 
-        _workers[path] = Pieces(encode)
-    return _workers[path]
+        _workers[path, special_as_text] = Pieces(encode, literals=added)
+    return _workers[path, special_as_text]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
-          parts: int | None = None) -> None:
+          parts: int | None = None, special_as_text: bool = False) -> None:
     """Write ``part, doc_id, n_tokens, tokens``; part k holds smaller document ids than part k + 1."""
     chosen = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     ordered = (chosen.repartitionByRange(parts, "id") if parts else chosen.repartitionByRange("id"))
@@ -87,7 +89,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
     id_type = chosen.schema["id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, counts = tokenizer_pieces(tokenizer).tokens(batch.column(2))
+        ids, counts = tokenizer_pieces(tokenizer, special_as_text).tokens(batch.column(2))
         ends = np.cumsum(counts + 1)
         values = np.full(int(ends[-1]), end_id, np.int32)
         inside = np.ones(len(values), bool)
