@@ -176,9 +176,8 @@ def _folds(spark, sf_dir, n):
 
 @query("cross_validate")
 def cross_validate(spark, sf_dir):
-    """Five folds of the forest and the logistic regression: mean and deviation of the fold accuracies."""
-    estimators = training.registry(["RandomForest", "LogisticRegression"])
-    found = training.cross_validate(_folds(spark, sf_dir, 5), estimators, 5, parallelism=4)
+    """Five folds of all models: mean and deviation of the fold accuracies."""
+    found = training.cross_validate(_folds(spark, sf_dir, 5), training.registry(), 5, parallelism=4)
     return compare.cv_summary(training.fold_scores(found)).drop("fold_scores")
 
 
@@ -208,9 +207,9 @@ def random_search(spark, sf_dir):
 
 @query("train_cv")
 def train_cv(spark, sf_dir):
-    """Cross-validate, then fit on all rows; the history row keeps the mean score."""
+    """Cross-validate all models, then fit them on all rows; the history rows keep the mean scores."""
     table = _folds(spark, sf_dir, 5)
-    estimators = training.registry(["LogisticRegression"])
+    estimators = training.registry()
     summary = compare.cv_summary(training.fold_scores(training.cross_validate(table, estimators, 5, parallelism=4)))
     _, status = training.train_all(table, estimators)
     if any(s != "trained" for _, s, _ in status):
