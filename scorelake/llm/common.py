@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorelake.session import scratch_path
@@ -54,3 +54,14 @@ def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Ite
                 else:
                     yield from out
     return df.mapInArrow(run, schema)
+
+
+def numbered(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Add ``row_number`` (from 1) in the given order. Rows are parted by range, equal ones by a salt; a row's number is its
+    place in its part plus the rows of the parts before, one count each."""
+    spread = rows.withColumn("salt", F.rand(1)).repartitionByRange(*order, "salt").sortWithinPartitions(*order, "salt")
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    spread = stored(spread.select(*rows.columns, F.spark_partition_id().alias("part"), inside.alias("inside")), name)
+    before = (spread.groupBy("part").agg(F.count("*").alias("n"))
+              .select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")))
+    return spread.join(before, "part").select(*rows.columns, (F.col("before") + F.col("inside") + 1).alias("row_number"))
