@@ -1,7 +1,8 @@
 """Exact, reproducible splits, samples and folds.
 
 Rows of a class are put in the order of ``md5(seed | row id)`` (or of the id itself) and cut at exact
-ranks, so sizes are exact and membership depends on nothing but seed and ids. The input is read twice
+ranks, so sizes are exact and membership depends on nothing but seed and ids. Ids may repeat: rows that share one are
+ordered by their whole content, and of rows that are equal throughout the right number goes to each side. The input is read twice
 (two columns) to find the cuts, then once by the caller; it should therefore be a stored table. The number
 of classes is not limited; the driver holds one counter and the cut keys per class.
 """
@@ -18,13 +19,13 @@ from pyspark.sql import functions as F
 from scorelake import config
 from scorelake.functions.missing import col, value_or_null
 from scorelake.operators.ordering import (
-    RANKED_ROWS, common_digits, hash_key, id_key, keys_at_ranks, with_block,
+    RANKED_ROWS, common_digits, hash_key, id_key, keys_at_ranks, row_digest, with_block,
 )
 
 
 def _keyed(df: DataFrame, key: Column, target: str | None) -> DataFrame:
     group = value_or_null(df, target) if target else F.lit(0)
-    return df.select(group.alias("g"), key.alias("k"))
+    return df.select(group.alias("g"), key.alias("k"), row_digest(df).alias("d"))
 
 
 def _known(counts: Mapping[Any, int]) -> dict[Any, int]:

@@ -455,6 +455,61 @@ def ordered_folds(spark, sf_dir):
     return sampling.ordered_folds(inputs.features(spark, sf_dir), "row_id", "y", 3).select("row_id", "y", "fold")
 
 
+# Ids that repeat: rows of one id lie in the order of their content. The checks list (id, class, side), so they hold for
+# whatever order a check gives the rows of one id.
+
+_USERS_SQL = "users as (select user_id as row_id, cast(case when event_type = 'purchase' then 1 else 0 end as integer) as y, event_id from events)"
+
+
+def _users(spark, sf_dir):
+    """Events under the id of their user."""
+    return inputs.features(spark, sf_dir).select(F.col("f_user").cast("long").alias("row_id"), "y", F.col("row_id").alias("event_id"))
+
+
+@query("split_dirty_rows", DIRTY_SQL, "base as (select event_id as row_id, y from dirty where y is not null)", split_sql("base"),
+       "select row_id, y, split from split")
+def split_dirty_rows(spark, sf_dir):
+    """Repeated ids, some of equal rows and some of rows that differ in a missing value."""
+    rows = inputs.dirty(spark, sf_dir).where("y is not null").withColumnRenamed("event_id", "row_id")
+    return sampling.stratified_split(rows, "row_id", "y").select("row_id", "y", "split")
+
+
+@query("split_repeated_ids", _USERS_SQL, split_sql("users"), "select row_id, y, split from split")
+def split_repeated_ids(spark, sf_dir):
+    return sampling.stratified_split(_users(spark, sf_dir), "row_id", "y", ranked_rows=20).select("row_id", "y", "split")
+
+
+@query("split_lines", """
+select l_orderkey as row_id, case when row_number() over (order by md5(concat_ws('|', 42, l_orderkey)))
+  <= count(*) over () - ceil(count(*) over () * cast(0.3 as double)) then 'train' else 'test' end as split from lineitem""")
+def split_lines(spark, sf_dir):
+    """All lines under their order's key."""
+    lines = inputs.table(spark, sf_dir, "lineitem")
+    return sampling.random_split(lines, "l_orderkey").select(F.col("l_orderkey").alias("row_id"), "split")
+
+
+@query("sample_repeated_ids", _USERS_SQL, _SAMPLE_SQL.format(t="users", id="event_id").replace("|', 42, event_id", "|', 42, row_id"),
+       "select row_id, y from sample")
+def sample_repeated_ids(spark, sf_dir):
+    return sampling.stratified_sample(_users(spark, sf_dir), "row_id", "y").select("row_id", "y")
+
+
+def _repeated_folds_sql(order, k):
+    return _folds_sql(order, k, "users")[0], """
+select l.row_id, l.y, cast(min(e.f) as integer) as fold from laid l join ends e on e.y = l.y and l.rn <= e.last
+group by l.row_id, l.y, l.rn"""
+
+
+@query("folds_repeated_ids", _USERS_SQL, *_repeated_folds_sql("md5(concat_ws('|', 42, row_id))", 5))
+def folds_repeated_ids(spark, sf_dir):
+    return sampling.stratified_folds(_users(spark, sf_dir), "row_id", "y").select("row_id", "y", "fold")
+
+
+@query("ordered_folds_repeated_ids", _USERS_SQL, *_repeated_folds_sql("row_id", 3))
+def ordered_folds_repeated_ids(spark, sf_dir):
+    return sampling.ordered_folds(_users(spark, sf_dir), "row_id", "y", 3, ranked_rows=5).select("row_id", "y", "fold")
+
+
 @query("split_summary", FEATURES_SQL, split_sql("features"), _BALANCE_SQL, """
 select split, class_value, class_count, class_proportion, total_samples, majority_class, minority_class,
   imbalance_ratio, 4 as n_features from balance""")

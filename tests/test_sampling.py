@@ -93,11 +93,51 @@ def test_split_needs_a_target_everywhere(spark):
         sampling.stratified_split(df, "row_id", "y")
 
 
-def test_repeated_ids_are_noticed(spark):
-    df = table(spark, 10, "id % 2 = 0").withColumn("row_id", F.lit(1))
+def repeated(spark, n=600):
+    """A third of all rows are one row, a third share one id, the others share ids by tens."""
+    e = F.col("id")
+    return spark.range(0, n, 1, 5).select(
+        F.when(e % 3 == 0, -1).when(e % 3 == 1, -2).otherwise(F.floor(e / 30)).alias("row_id"),
+        F.when(e % 3 == 0, 0.5).otherwise(e.cast("double")).alias("v.x"),
+        F.when(e % 3 == 0, 0).otherwise((e % 4 == 0).cast("int")).alias("y"), F.lit("g").alias("g"))
+
+
+@pytest.mark.parametrize("ranked", [1, 7, 200_000])
+def test_exact_sizes_with_repeated_ids_and_rows(spark, ranked):
+    df = repeated(spark)
+    every = Counter(map(tuple, df.collect()))
+    classes = Counter(r[2] for r in every.elements())
+    for n in (1, 150, 299, 599):
+        assert sampling.random_sample(df, "row_id", n, ranked_rows=ranked).count() == n
+    split = sampling.stratified_split(df, "row_id", "y", 0.3, ranked_rows=ranked)
+    assert Counter(tuple(r)[:4] for r in split.collect()) == every and split.columns == [*df.columns, "split"]
+    want = sampling.split_quotas(classes, 0.3)
+    assert {(r.y, r.split): r["count"] for r in split.groupBy("y", "split").count().collect()} == {
+        (y, s): q if s == "train" else classes[y] - q for y, q in want.items() for s in ("train", "test")}
+    for folds in (sampling.stratified_folds(df, "row_id", "y", 7, ranked_rows=ranked), sampling.ordered_folds(df, "row_id", "y", 7, ranked_rows=ranked)):
+        ends = sampling.fold_ends(classes, 7)
+        sizes = {(y, f): b - a for y in classes for f, (a, b) in enumerate(zip([0, *ends[y]], [*ends[y], classes[y]]))}
+        assert {(r.y, r.fold): r["count"] for r in folds.groupBy("y", "fold").count().collect()} == {k: n for k, n in sizes.items() if n}
+        assert Counter(tuple(r)[:4] for r in folds.collect()) == every
+
+
+def test_rows_with_one_id_follow_their_content(spark):
+    """The same rows are chosen whatever the partitions, and a larger sample holds the smaller one."""
+    df = repeated(spark)
+
+    def chosen(n, parts, ranked):
+        return Counter(map(tuple, sampling.random_sample(df.repartition(parts), "row_id", n, ranked_rows=ranked).collect()))
+
+    for n in (40, 250, 420):
+        assert chosen(n, 1, 200_000) == chosen(n, 6, 3)
+        assert chosen(n, 2, 50) <= chosen(n + 33, 3, 10)
+
+
+def test_one_row_again_and_again(spark):
+    df = spark.range(0, 1000, 1, 4).select(F.lit(1).alias("row_id"), F.lit(None).cast("string").alias("x"))
     for ranked in (2, 200_000):
-        with pytest.raises(ValueError, match="not unique"):
-            sampling.random_sample(df, "row_id", 3, ranked_rows=ranked)
+        assert sampling.random_sample(df, "row_id", 3, ranked_rows=ranked).count() == 3
+        assert {r["count"] for r in sampling.random_split(df, "row_id", 0.25, ranked_rows=ranked).groupBy("split").count().collect()} == {250, 750}
 
 
 def test_repeated_ids_away_from_the_cut_do_no_harm(spark):
