@@ -26,17 +26,17 @@ MAX_ATTEMPTS = 3
 SCORING_BATCH = 10
 
 MODEL_PARAMS = {
-    "RandomForest": {"numTrees": 100, "maxDepth": 30, "minInstancesPerNode": 1},
+    "RandomForest": {"numTrees": 100, "maxDepth": 0, "minInstancesPerNode": 1},
     "LogisticRegression": {"C": 1.0, "penalty": "l2", "maxIter": 1000},
     "SVM": {"C": 1.0, "kernel": "rbf", "gamma": "scale"},
     "GradientBoosting": {"positiveWeight": 4.0, "maxIter": 100, "maxDepth": 6, "stepSize": 0.1},
 }
 
-# Search grids in terms of Spark parameters; 30 is the deepest tree Spark accepts.
+# Search grids; depth 0 means no limit.
 PARAM_GRIDS = {
     "RandomForest": {
         "numTrees": [50, 100, 200, 300],
-        "maxDepth": [30, 10, 20],
+        "maxDepth": [0, 10, 20],
         "minInstancesPerNode": [1, 2, 4],
         "featureSubsetStrategy": ["sqrt", "log2", "all"],
     },

@@ -7,7 +7,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from scorelake import config
 from scorelake.functions.missing import col
+from scorelake.models.forest import BaggedForest
 from scorelake.models.stages import WEIGHT, BalancedLogisticRegression, ClassWeigher, KernelSVM
 from scorelake.operators.metrics import cells, from_cells
 from scorelake.operators.sampling import stratified_sample
@@ -27,9 +28,7 @@ def build(name: str, seed: int = config.RANDOM_STATE, **params) -> Pipeline:
     """Untrained pipeline for (row_id, y, features) rows; ``params`` override the defaults."""
     given = {**config.MODEL_PARAMS[name], **params}
     if name == "RandomForest":
-        # Deep trees: keeping each row's node beside the row beats sending the growing forest to every task.
-        given = {"cacheNodeIds": True, "maxMemoryInMB": 1024, **given}
-        stages = [ClassWeigher(), RandomForestClassifier(labelCol="y", weightCol=WEIGHT, seed=seed, **given)]
+        stages = [BaggedForest(seed=seed, **given)]
     elif name == "LogisticRegression":
         stages = [BalancedLogisticRegression(**given)]
     elif name == "SVM":
