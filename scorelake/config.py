@@ -55,6 +55,6 @@ PARAM_GRIDS = {
         "maxDepth": [3, 6, 9],
         "stepSize": [0.01, 0.1, 0.2],
         "subsamplingRate": [0.8, 0.9, 1.0],
-        "featureSubsetStrategy": ["0.8", "0.9", "1.0"],
+        "columnRate": [0.8, 0.9, 1.0],
     },
 }

@@ -163,12 +163,12 @@ class Block:
                  right: np.ndarray, share: np.ndarray):
         order = np.lexsort((node, tree))
         numbers, self.roots, counts = np.unique(tree[order], return_index=True, return_counts=True)
-        offset = np.repeat(self.roots, counts)
+        owner = np.repeat(np.arange(len(counts), dtype=np.int64) << 32, counts)
         leaf = feature[order] < 0
-        here = np.arange(len(order))
+        here, keys = np.arange(len(order)), owner + node[order]
         self.feature = np.where(leaf, 0, feature[order])
         self.cut = np.where(leaf, np.inf, cut[order])
-        self.left, self.right = np.where(leaf, here, left[order] + offset), np.where(leaf, here, right[order] + offset)
+        self.left, self.right = (np.where(leaf, here, np.searchsorted(keys, owner + child[order])) for child in (left, right))
         self.share, self.inner = share[order], ~leaf
 
     def votes(self, x: np.ndarray) -> np.ndarray:
@@ -253,23 +253,30 @@ class BaggedForestModel(Model, _ForestParams, MLReadable, MLWritable):
     def featureImportances(self) -> DenseVector:
         return Vectors.dense(self.getOrDefault(self.importances))
 
+    @property
+    def getNumTrees(self) -> int:
+        return self.getOrDefault(self.numTrees)
+
+    def _probability(self, votes: Column) -> Column:
+        return votes / self.getOrDefault(self.numTrees)
+
     def node_rows(self, spark) -> DataFrame:
         """The node table: ``tree, node, feature, cut, left, right, share, gain``; a leaf has feature -1."""
         return spark.read.schema(NODES).parquet(self.getOrDefault(self.nodes))
 
     def _transform(self, dataset, block_nodes: int = BLOCK_NODES):
         nodes = self.node_rows(dataset.sparkSession)
-        trees = self.getOrDefault(self.numTrees)
         if self.getOrDefault(self.nodeCount) <= block_nodes:
-            score = self._near(nodes, vector_to_array(col(self.getOrDefault(self.featuresCol))), trees)
-            scored = dataset.withColumn("probability", score)
+            votes = self._near(nodes, vector_to_array(col(self.getOrDefault(self.featuresCol))))
+            scored = dataset.withColumn("probability", votes)
         else:
-            scored = self._dealt(dataset, nodes, trees, block_nodes)
+            scored = self._dealt(dataset, nodes, block_nodes)
+        scored = scored.withColumn("probability", self._probability(F.col("probability")))
         both = array_to_vector(F.array(F.lit(1.0) - F.col("probability"), F.col("probability")))
         return (scored.withColumn("prediction", (F.col("probability") > 0.5).cast("double"))
                 .withColumn("probability", both))
 
-    def _near(self, nodes: DataFrame, x: Column, trees: int) -> Column:
+    def _near(self, nodes: DataFrame, x: Column) -> Column:
         """One block, sent to every task: its size was counted when the forest was grown."""
         sent = nodes.sparkSession.sparkContext.broadcast(_arrays(nodes.toArrow()))
         built: list[Block] = []
@@ -278,11 +285,11 @@ class BaggedForestModel(Model, _ForestParams, MLReadable, MLWritable):
         def vote(x: pd.Series) -> pd.Series:
             if not built:
                 built.append(Block(*sent.value))
-            return pd.Series(built[0].votes(np.stack(x.to_numpy())) / trees if len(x) else [], dtype=float)
+            return pd.Series(built[0].votes(np.stack(x.to_numpy())) if len(x) else [], dtype=float)
 
         return vote(x)
 
-    def _dealt(self, dataset: DataFrame, nodes: DataFrame, trees: int, block_nodes: int) -> DataFrame:
+    def _dealt(self, dataset: DataFrame, nodes: DataFrame, block_nodes: int) -> DataFrame:
         """Every row visits every block of trees; the blocks' votes are added per row."""
         blocks = max(1, math.ceil(self.getOrDefault(self.nodeCount) / block_nodes))
         salts = max(1, int(dataset.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
@@ -318,7 +325,7 @@ class BaggedForestModel(Model, _ForestParams, MLReadable, MLWritable):
 
         id_type = row.schema["row_id"].dataType.simpleString()
         votes = both.mapInArrow(run, f"row_id {id_type}, votes double").groupBy("row_id").agg(
-            (F.sum("votes") / trees).alias("probability"))
+            F.sum("votes").alias("probability"))
         return dataset.join(votes, "row_id")
 
     def write(self) -> MLWriter:

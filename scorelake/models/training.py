@@ -7,7 +7,6 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +14,9 @@ from pyspark.sql import functions as F
 
 from scorelake import config
 from scorelake.functions.missing import col
+from scorelake.models.boosting import BoostedTrees
 from scorelake.models.forest import BaggedForest
-from scorelake.models.stages import WEIGHT, BalancedLogisticRegression, ClassWeigher, KernelSVM
+from scorelake.models.stages import BalancedLogisticRegression, KernelSVM
 from scorelake.operators.metrics import cells, from_cells
 from scorelake.operators.sampling import stratified_sample
 from scorelake.session import scratch_root
@@ -34,9 +34,7 @@ def build(name: str, seed: int = config.RANDOM_STATE, **params) -> Pipeline:
     elif name == "SVM":
         stages = [KernelSVM(seed=seed, **given)]
     elif name == "GradientBoosting":
-        weight = float(given.pop("positiveWeight"))
-        stages = [ClassWeigher(classes=[0.0, 1.0], weights=[1.0, weight]),
-                  GBTClassifier(labelCol="y", weightCol=WEIGHT, seed=seed, **given)]
+        stages = [BoostedTrees(seed=seed, **given)]
     else:
         raise ValueError(f"unknown model {name}")
     return Pipeline(stages=stages)

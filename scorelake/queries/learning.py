@@ -135,6 +135,39 @@ def predict_all(spark, sf_dir):
                         (follows | (F.col("model") == "SVM")).alias("class_follows_score"))
 
 
+_CUT_COLUMNS = ["f0", "f_hour", "f_k"]
+
+
+def _cuts_sql(name: str, rows: str, by: str) -> str:
+    """Best cut per node: all values tried, gains of second order with ridge term 1."""
+    return f"""
+{name} as (
+  select node, feature, v as cut, gl * gl / (hl + 1) + gr * gr / (hr + 1) - (gl + gr) * (gl + gr) / (hl + hr + 1) as gain
+  from (select node, feature, v, gl, hl, sum(g) over w - gl as gr, sum(h) over w - hl as hr
+        from (select *, sum(g) over (partition by node, feature order by v) as gl, sum(h) over (partition by node, feature order by v) as hl
+              from (select {by} as node, feature, v, sum(g) as g, sum(h) as h from {rows} group by 1, 2, 3) s) s
+        window w as (partition by node, feature)) s
+  where hl >= 1 and hr >= 1
+  qualify row_number() over (partition by node order by gain desc, feature, v) = 1)"""
+
+
+@query("boosted_first_splits", FEATURES_SQL, _TEST_SQL[1], """
+gh as (select row_id, floor(f_value / 10) as f0, f_hour, f_k, case when y = 1 then -2.0::double else 0.5 end as g,
+              case when y = 1 then 1.0::double else 0.25 end as h from planted)""", """
+long as (select row_id, 0 as feature, f0 as v, g, h from gh union all select row_id, 1, f_hour, g, h from gh
+         union all select row_id, 2, f_k, g, h from gh)""", _cuts_sql("top", "long", "1"), """
+sides as (select l.*, case when r.v <= t.cut then 2 else 3 end as side
+          from long l join top t on true join long r on r.row_id = l.row_id and r.feature = t.feature)""",
+       _cuts_sql("below", "sides", "side"),
+       "select cast(node as integer) as node, cast(feature as integer) as feature, cut, round(gain, 6) as gain from (select * from top union all select * from below) n")
+def boosted_first_splits(spark, sf_dir):
+    """The two upper levels of the first boosted tree: features, cuts and gains."""
+    rows = inputs.planted(spark, sf_dir).withColumn("f0", F.floor(F.col("f_value") / 10).cast("double"))
+    table = training.assemble(rows, "row_id", "y", _CUT_COLUMNS, rows_per_partition=ROWS_PER_PARTITION)
+    model = training.build("GradientBoosting", maxIter=1, maxDepth=2).fit(table).stages[-1]
+    return model.node_rows(spark).where("feature >= 0").select("node", "feature", "cut", "gain")
+
+
 @query("importance", f"""
 select model, feature, 1.0::double as total from (select unnest({FEATURES}) as feature) f
 cross join (select unnest(['RandomForest', 'GradientBoosting']) as model) m""")
