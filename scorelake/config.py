@@ -24,6 +24,7 @@ HIGH_MISSING_SHARE = 0.1
 SIGNIFICANCE_LEVEL = 0.05
 MAX_ATTEMPTS = 3
 SCORING_BATCH = 10
+CALL_SECONDS = 30.0
 
 MODEL_PARAMS = {
     "RandomForest": {"numTrees": 100, "maxDepth": 0, "minInstancesPerNode": 1},

@@ -372,6 +372,31 @@ def score_all_models(spark, sf_dir):
     return _responses(spark, sf_dir, ["alpha", "beta"])
 
 
+def slow_scorer() -> scoring.Scorer:
+    """The threshold rule, but prompts with two certain values never get an answer."""
+    rule = threshold_scorer()
+
+    def answer(model: str, prompts: list[str]) -> list[str | None]:
+        import time
+
+        if any("- f_hour: 5.00" in text and "- f_k: 13.00" in text for text in prompts):
+            time.sleep(3600)
+        return rule(model, prompts)
+
+    return answer
+
+
+@query("score_with_time_limit", FEATURES_SQL, _SCORED_SQL, """
+select model, row_id, s.y, case when hangs then null else raw end as raw, case when hangs then null else pred end as pred,
+  case when hangs then 'TimeoutError: no answer within 1 s' end as error
+from scored s join (select row_id, f_hour = 5 and f_k = 13 as hangs from features) f using (row_id) where model = 'alpha'""")
+def score_with_time_limit(spark, sf_dir):
+    """Some prompts hang: their calls are ended, four are in flight per task, all other rows get their answers."""
+    pending = scoring.prompts(inputs.features(spark, sf_dir), "row_id", "y", FEATURES, ["alpha"])
+    found = scoring.score(pending, slow_scorer(), max_attempts=2, batch_size=4, partitions=8, time_limit=1.0, window=4)
+    return found.select("model", "row_id", "y", "raw", "pred", "error")
+
+
 @query("resume_scoring", FEATURES_SQL, _SCORED_SQL, "select model, row_id, attempts, pred from scored")
 def resume_scoring(spark, sf_dir):
     """A run that stopped after the first model goes on with the rows not stored yet."""
