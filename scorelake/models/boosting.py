@@ -1,9 +1,11 @@
 """Boosted trees with second-order gains, grown level by level over binned rows.
 
-Features are cut into at most ``maxBins`` bins: at every value where a feature has that few, else at quantiles. In
-each level one pass over the rows adds up gradient and Hessian of the logistic loss per (node, feature, bin); tasks
-send partial sums, Spark adds them, runs along the bins and picks the best cut of every node, and the driver receives
-one row per node. Sums are whole multiples of ``1 / UNIT``, so a tree doesn't depend on the order of adding.
+Features are cut into at most ``maxBins`` bins: at every value where a feature has that few, else at quantiles. Rows are kept
+as blocks of packed columns, one per Arrow batch. In each level one pass over the blocks adds up gradient and Hessian of the
+logistic loss per (node, feature, bin); tasks add up their blocks, and a tree of tasks adds up those sums (hundreds of short
+jobs per model: an RDD of blocks starts them several times faster than a DataFrame plan). The driver receives one table of
+``nodes x features x bins`` per level and picks the cuts. Sums are whole multiples of ``1 / UNIT``, so a tree doesn't
+depend on the order of adding.
 
 A cut's gain is ``GL^2 / (HL + r) + GR^2 / (HR + r) - G^2 / (H + r)`` with ridge term ``r``; a leaf's value is ``-G / (H + r)``
 times the step. Columns are drawn per tree, rows per tree by a digest of their id. Margins are stored with the rows every
@@ -17,13 +19,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import keyword_only
+from pyspark import RDD, StorageLevel, keyword_only
 from pyspark.ml import Estimator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasSeed
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake import config
@@ -81,67 +83,85 @@ class Tree:
         return values[self.nodes(binned)]
 
 
-def _binned(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("bins").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(batch.num_rows, -1)
+class Block:
+    """Rows of one batch: bins, labels, margins and a digest of the ids."""
 
+    def __init__(self, row):
+        self.y, self.margin, self.digest = (np.frombuffer(row[k], t) for k, t in (("y", np.int8), ("margin", np.float64), ("digest", np.int64)))
+        self.bins = np.frombuffer(row["bins"], np.int16).reshape(len(self.y), -1)
 
-def _with_margins(rows: DataFrame, trees: Sequence[Tree]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            binned = _binned(batch) if batch.num_rows else np.zeros((0, 1), np.int64)
-            margin = batch.column("margin").to_numpy() + sum(t.margins(binned) for t in trees)
-            yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(margin))
 
-    return rows.mapInArrow(run, rows.schema)
+BLOCK = "y binary, margin binary, digest binary, bins binary"
 
 
-def level_sums(rows: DataFrame, trees: Sequence[Tree], growing: Tree, columns: Sequence[int], bins: int, first: int, positive: float,
-               taken: Column) -> DataFrame:
-    """``node, feature, bin, g, h`` of the rows in the leaves from number ``first`` on."""
+def packed(values: DataFrame, cuts: Sequence[np.ndarray]) -> DataFrame:
+    """Blocks of ``y, digest, x`` rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = len(columns) * bins
-        g_sum, h_sum = np.zeros(first * width, np.int64), np.zeros(first * width, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            binned = _binned(batch)
-            margin = batch.column("margin").to_numpy() + sum(t.margins(binned) for t in trees)
-            p = 1 / (1 + np.exp(-margin))
-            y = batch.column("y").to_numpy()
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            binned = np.stack([np.searchsorted(cut, x[:, f]) for f, cut in enumerate(cuts)], axis=1).astype(np.int16)
+            columns = (batch.column("y").to_numpy().astype(np.int8), np.zeros(batch.num_rows), batch.column("digest").to_numpy(), binned)
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["y", "margin", "digest", "bins"])
+
+    return values.select("y", "digest", "x").mapInArrow(run, BLOCK)
+
+
+def _with_margins(blocks: DataFrame, trees: Sequence[Tree]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            margins = []
+            for row in batch.to_pylist():
+                block = Block(row)
+                margins.append((block.margin + sum(t.margins(block.bins) for t in trees)).tobytes())
+            yield batch.set_column(1, "margin", pa.array(margins, pa.binary()))
+
+    return blocks.mapInArrow(run, BLOCK)
+
+
+def level_sums(blocks: RDD, trees: Sequence[Tree], growing: Tree, columns: Sequence[int], bins: int, first: int, positive: float,
+               taken: tuple[int, int]) -> np.ndarray:
+    """Sums of gradients and Hessians, shape (2, nodes, columns, bins), of the rows in the leaves from number ``first`` on."""
+    def run(rows) -> Iterator[np.ndarray]:
+        width = len(columns) * bins
+        sums = np.zeros((2, first * width), np.int64)
+        for row in rows:
+            block = Block(row)
+            margin = block.margin + sum(t.margins(block.bins) for t in trees)
+            node = growing.nodes(block.bins)
+            number, limit = taken
+            drawn = (block.digest ^ (number * 0x2545F4914F6CDD1D & (1 << 63) - 1)) * 0x9E3779B1 >> 11 & (1 << 30) - 1
+            open_ = (node >= first) & (drawn < limit)
+            p, y = 1 / (1 + np.exp(-margin[open_])), block.y[open_]
             weight = np.where(y == 1, positive, 1.0)
-            g = np.rint((p - y) * weight * UNIT).astype(np.int64)
-            h = np.rint(np.maximum(p * (1 - p), 1e-16) * weight * UNIT).astype(np.int64)
-            node = growing.nodes(binned)
-            open_ = node >= first
-            node, binned, g, h = node[open_] - first, binned[open_], g[open_], h[open_]
+            both = ((p - y) * weight * UNIT, np.maximum(p * (1 - p), 1e-16) * weight * UNIT)
             for k, f in enumerate(columns):
-                at = node * width + k * bins + binned[:, f]
-                # Floats hold these whole numbers exactly: a batch is far below 2**33 rows.
-                g_sum += np.rint(np.bincount(at, g, len(g_sum))).astype(np.int64)
-                h_sum += np.rint(np.bincount(at, h, len(h_sum))).astype(np.int64)
-        at = np.flatnonzero(h_sum)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at // width + first, pa.int32()), pa.array(np.array(columns, np.int32)[at % width // bins]),
-             pa.array(at % bins, pa.int32()), pa.array(g_sum[at]), pa.array(h_sum[at])], ["node", "feature", "bin", "g", "h"])
-
-    parts = rows.where(taken).select("y", "bins", "margin").mapInArrow(run, "node int, feature int, bin int, g long, h long")
-    return parts.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-
-
-def best_cuts(sums: DataFrame, ridge: float, least: float) -> DataFrame:
-    """Per node the cut of largest gain (ties: smaller feature, then bin): ``node, feature, bin, gain, gl, hl, gr, hr``."""
-    along = Window.partitionBy("node", "feature")
-    upto = along.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    real = lambda c: c.cast("double") / UNIT
-    term = lambda g, h: F.col(g) * F.col(g) / (F.col(h) + ridge)
-    cuts = (sums.select("node", "feature", "bin", real(F.sum("g").over(upto)).alias("gl"), real(F.sum("h").over(upto)).alias("hl"),
-                        real(F.sum("g").over(along)).alias("g"), real(F.sum("h").over(along)).alias("h"))
-            .withColumn("gr", F.col("g") - F.col("gl")).withColumn("hr", F.col("h") - F.col("hl"))
-            .where((F.col("hl") >= least) & (F.col("hr") >= least))
-            .withColumn("gain", term("gl", "hl") + term("gr", "hr") - term("g", "h")).where(F.col("gain") > LEAST_GAIN))
-    order = F.struct(F.col("gain"), -F.col("feature"), -F.col("bin"))
-    found = cuts.groupBy("node").agg(F.max_by(F.struct("feature", "bin", "gain", "gl", "hl", "gr", "hr"), order).alias("c"))
-    return found.select("node", "c.*")
+                at = (node[open_] - first) * width + k * bins + block.bins[open_, f]
+                for total, values in zip(sums, both, strict=True):
+                    # Floats hold sums of these whole numbers exactly: a block is far below 2**33 rows.
+                    total += np.bincount(at, np.rint(values), len(total)).astype(np.int64)
+        yield sums
+
+    return blocks.mapPartitions(run).treeReduce(np.add).reshape(2, first, len(columns), bins)
+
+
+def best_cuts(sums: np.ndarray, columns: Sequence[int], ridge: float, least: float) -> dict[int, tuple]:
+    """Per node the cut of largest gain (ties: smaller feature, then bin): feature, bin, gain, and (g, h) of both sides."""
+    g, h = sums / UNIT
+    gl, hl = np.cumsum(g, axis=2), np.cumsum(h, axis=2)
+    all_g, all_h = gl[:, :, -1:], hl[:, :, -1:]
+    gr, hr = all_g - gl, all_h - hl
+    gain = gl * gl / (hl + ridge) + gr * gr / (hr + ridge) - all_g * all_g / (all_h + ridge)
+    # A cut lies at a bin that has rows of the node.
+    gain[(hl < least) | (hr < least) | (sums[1] == 0) | (gain <= LEAST_GAIN)] = -np.inf
+    out = {}
+    for node, row in enumerate(gain.reshape(len(gain), -1)):
+        best = int(row.argmax())
+        if np.isfinite(row[best]):
+            k, b = divmod(best, gain.shape[2])
+            out[node] = columns[k], b, float(row[best]), *((float(x[node, k, b]) for x in (gl, hl, gr, hr)))
+    return out
 
 
 class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
@@ -170,55 +190,43 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasSeed, DefaultParam
         spark = dataset.sparkSession
         if not sum(class_counts(dataset, get("labelCol")).values()):
             raise ValueError("no rows to fit on")
-        values = dataset.select("row_id", col(get("labelCol")).cast("int").alias("y"),
+        values = dataset.select(F.xxhash64(F.lit(get("seed")), "row_id").alias("digest"), col(get("labelCol")).cast("int").alias("y"),
                                 vector_to_array(col(get("featuresCol"))).alias("x"))
         size = len(values.select("x").first()["x"])
         cuts = bin_cuts(values, size, get("maxBins"))
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                binned = np.stack([np.searchsorted(cuts[f], x[:, f]) for f in range(size)], axis=1).astype(np.int16)
-                lists = pa.ListArray.from_arrays(np.arange(0, binned.size + 1, size, dtype=np.int32), binned.ravel())
-                yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("y"), lists, pa.array(np.zeros(batch.num_rows))],
-                                                 ["row_id", "y", "bins", "margin"])
-
-        id_type = values.schema["row_id"].dataType.simpleString()
-        rows = self._kept(values.mapInArrow(place, f"row_id {id_type}, y int, bins array<smallint>, margin double"))
+        blocks = self._kept(packed(values, cuts))
         rng, trees, done = random.Random(get("seed")), [], 0
+        rows = blocks.rdd.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for number in range(get("maxIter")):
                 columns = sorted(rng.sample(range(size), max(1, round(get("columnRate") * size))))
-                taken = F.lit(True)
-                if get("subsamplingRate") < 1:
-                    drawn = F.pmod(F.xxhash64(F.lit(get("seed")), F.lit(number), "row_id"), F.lit(1 << 30))
-                    taken = drawn < int(get("subsamplingRate") * (1 << 30))
+                taken = (rng.getrandbits(60), round(get("subsamplingRate") * (1 << 30)))
                 trees.append(self._tree(rows, trees[done:], columns, max(len(c) for c in cuts) + 1, taken))
                 if len(trees) - done >= KEEP and number + 1 < get("maxIter"):
-                    rows, old = self._kept(_with_margins(rows, trees[done:])), rows
-                    old.unpersist()
-                    done = len(trees)
+                    blocks = self._kept(_with_margins(blocks, trees[done:]))
+                    rows.unpersist()
+                    rows, done = blocks.rdd.persist(StorageLevel.MEMORY_AND_DISK), len(trees)
         finally:
             rows.unpersist()
         return self._model(spark, trees, cuts)
 
     @staticmethod
-    def _kept(rows: DataFrame) -> DataFrame:
-        path = scratch_path(rows.sparkSession, "boosting")
-        rows.write.parquet(path)
-        return rows.sparkSession.read.schema(rows.schema).parquet(path).persist()
+    def _kept(blocks: DataFrame) -> DataFrame:
+        path = scratch_path(blocks.sparkSession, "boosting")
+        blocks.write.parquet(path)
+        return blocks.sparkSession.read.schema(BLOCK).parquet(path)
 
-    def _tree(self, rows: DataFrame, recent: Sequence[Tree], columns: Sequence[int], bins: int, taken: Column) -> Tree:
+    def _tree(self, rows: RDD, recent: Sequence[Tree], columns: Sequence[int], bins: int, taken: tuple[int, int]) -> Tree:
         get = lambda name: self.getOrDefault(getattr(self, name))
         tree, ridge = Tree(), get("ridge")
-        for level in range(get("maxDepth")):
-            sums = level_sums(rows, recent, tree, columns, bins, 1 << level, get("positiveWeight"), taken)
-            found = best_cuts(sums, ridge, get("minHessian")).collect()              # at most one row per node of the level
-            for r in found:
-                k = r["node"]
-                tree.inner[k], tree.gain[k] = (r["feature"], r["bin"]), r["gain"]
+        for first in (1 << level for level in range(get("maxDepth"))):
+            sums = level_sums(rows, recent, tree, columns, bins, first, get("positiveWeight"), taken)
+            found = best_cuts(sums, columns, ridge, get("minHessian"))
+            for place, (f, b, gain, gl, hl, gr, hr) in found.items():
+                k = first + place
+                tree.inner[k], tree.gain[k] = (f, b), gain
                 del tree.value[k]
-                for child, g, h in ((2 * k, r["gl"], r["hl"]), (2 * k + 1, r["gr"], r["hr"])):
+                for child, g, h in ((2 * k, gl, hl), (2 * k + 1, gr, hr)):
                     tree.value[child] = -g / (h + ridge) * get("stepSize")
             if not found:
                 break
