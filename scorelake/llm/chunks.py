@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -74,15 +75,16 @@ class Pieces:
         """What else is held per piece is cut down to ``kept``."""
 
     def _number(self, texts: list[str]) -> np.ndarray:
-        known, new = self.known, self.new
-        out = []
-        for text in texts:
-            number = known.get(text)
-            if number is None:
-                number = known[text] = len(known)
-                new.append(text)
-                self.held += len(text)
-            out.append(number)
+        known = self.known
+        out = list(map(known.get, texts))
+        if None in out:
+            for k, number in enumerate(out):
+                if number is None:
+                    out[k] = known.setdefault(texts[k], len(known))
+            first = len(known) - len(self.lengths) - len(self.new)
+            new = list(islice(reversed(known), first))[::-1]
+            self.new += new
+            self.held += sum(map(len, new))
         return np.array(out, np.int64)
 
     def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,9 +100,9 @@ class Pieces:
         heads = np.cumsum(sizes) - sizes
         flat = parts.flatten()
         coded = flat.dictionary_encode()
-        inner = self._number([" " + x for x in coded.dictionary.to_pylist()])
+        inner = self._number([" " + x for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()])
         pieces = inner[coded.indices.to_numpy(zero_copy_only=False)]
-        pieces[heads] = self._number(pc.if_else(whole, texts, flat.take(pa.array(heads))).to_pylist())
+        pieces[heads] = self._number(pc.if_else(whole, texts, flat.take(pa.array(heads))).to_numpy(zero_copy_only=False).tolist())
         if self.new:
             ids, lengths = self.encode(self.new)
             self.new = []
