@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from scorelake.functions.missing import col
 from scorelake.session import scratch_path
 
 # Bytes that part words of the licence and decontamination contracts (ASCII except letters and digits).
@@ -27,13 +29,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame, **wanted: str) -> DataFrame:
+    """The wanted columns under names of our own, and all columns in a struct ``row``: whatever they are called, they can't
+    clash with columns that an operator adds. ``select("row.*")`` gives them back."""
+    return docs.select(*[col(name).alias(own) for own, name in wanted.items()], F.struct(*map(col, docs.columns)).alias("row"))
+
+
 def text_bytes(column: str) -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
-    return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
+    return F.coalesce(col(column).cast("string"), F.lit("")).cast("binary")
 
 
 def text_of(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(col(column).cast("string"), F.lit(""))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -42,7 +50,7 @@ def ascii_lower(text: Column) -> Column:
         F.translate(text, UPPER, UPPER.lower()))
 
 
-def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch],
+def map_batches(df: DataFrame, schema: str | StructType, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch],
                 rows: int = 512) -> DataFrame:
     """Apply ``work`` to slices of at most ``rows`` rows inside the tasks, so that results stay small in memory."""
     def run(batches):

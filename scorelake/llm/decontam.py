@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import ascii_lower, stored, text_of
+from scorelake.llm.common import ascii_lower, boxed, stored, text_of
 
 WINDOW = 10
 SHINGLE = 5
@@ -122,7 +122,7 @@ def _candidates(spark: SparkSession, docs: DataFrame, shingles: DataFrame, steps
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a window of an item."""
-    return mark(docs, items, id_col, text_col).where("__n_hit = 0").select(docs.columns)
+    return mark(boxed(docs, id=id_col, text=text_col), items, "id", "text").where("__n_hit = 0").select("row.*")
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

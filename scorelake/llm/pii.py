@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import stored, text_of
+from scorelake.llm.common import boxed, stored, text_of
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "secret", "person")
 BASE = KINDS[:4]
@@ -253,8 +253,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; where spans overlap, the first stands for all."""
-    found = find(docs, text_col, "__spans")
-    text = text_of(text_col)
+    found = find(boxed(docs, text=text_col), "text", "spans")
+    text = text_of("text")
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int,kind:string>>").alias("cuts"))
 
     def take(acc, s):
@@ -262,9 +262,10 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["cuts"], F.array(cut)).alias("cuts"))).otherwise(
             F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["cuts"].alias("cuts")))
 
-    walked = F.aggregate("__spans", state, take)
+    walked = F.aggregate("spans", state, take)
     rewritten = _let(walked, lambda w: F.concat(
         F.array_join(F.transform(w["cuts"], lambda c: F.concat(
             F.substring(text, c["from"] + 1, c["to"] - c["from"]), F.lit("["), F.upper(c["kind"]), F.lit("]"))), ""),
         F.substring(text, w["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("__spans") > 0, rewritten).otherwise(F.col(text_col))).drop("__spans")
+    changed = F.when(F.size("spans") > 0, rewritten).otherwise(F.col("text"))
+    return found.select(*[(changed if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

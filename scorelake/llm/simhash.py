@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import map_batches, stored, text_bytes
+from scorelake.llm.common import boxed, map_batches, stored, text_bytes
 
 RADIUS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))      # first bit and width
@@ -247,14 +247,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class: the smallest document id, of rows with equal ids the smallest text.
+    """One row of each class: the smallest document id, of rows with equal ids the smallest text, of rows with equal ids and
+    texts the smallest digest of their other columns.
 
     Ids may be null or repeated, so a row is known by its id and the digest of its text, and a class by the least of these."""
-    digest = F.unhex(F.sha2(text_bytes(text_col), 256))
-    row = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), digest.alias("digest"))
-    found = near_duplicates(docs.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text")
-    kept = found.where(F.col("row.id").eqNullSafe(F.col("component_id.id"))).select(
-        F.col("row.id").alias("__id"), F.col("row.digest").alias("__digest"), F.col("component_id").alias("__class")).distinct()
-    chosen = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest")))
-    first = F.min_by(F.struct(*map(F.col, docs.columns)), F.struct(text_col))
-    return chosen.groupBy("__class").agg(first.alias("__row")).select("__row.*")
+    own = boxed(docs, id=id_col, text=text_col)
+    digest = F.unhex(F.sha2(text_bytes("text"), 256))
+    key = F.struct(F.col("id").isNull().alias("missing"), F.col("id"), digest.alias("digest"))
+    found = near_duplicates(own.select(key.alias("key"), "text"), "key", "text")
+    kept = found.where(F.col("key.id").eqNullSafe(F.col("component_id.id"))).select(
+        F.col("key.id").alias("kept_id"), F.col("key.digest").alias("kept_digest"), F.col("component_id").alias("class")).distinct()
+    chosen = own.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (digest == F.col("kept_digest")))
+    others = [F.col("row")[c] for c in docs.columns if c not in (id_col, text_col)]
+    rest = F.md5(F.to_json(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(others)]))) if others else F.lit("")
+    return chosen.groupBy("class").agg(F.min_by("row", F.struct("text", rest)).alias("row")).select("row.*")

@@ -172,10 +172,9 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose text is toxic; rows stay where they are (no shuffle)."""
     model = fit(docs, labels, id_col, text_col)
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, below = _below([text or "" for text in batch.column(text_col).to_pylist()], model)
         return batch.filter(pa.array(1 - below[:, 0] < threshold))
 
-    return map_batches(docs, shape, work)
+    return map_batches(docs, docs.schema, work)
