@@ -172,9 +172,11 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose text is toxic; rows stay where they are (no shuffle)."""
     model = fit(docs, labels, id_col, text_col)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])        # Python functions take no dotted names
+    place = docs.columns.index(text_col)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, below = _below([text or "" for text in batch.column(text_col).to_pylist()], model)
+        _, below = _below([text or "" for text in batch.column(place).to_pylist()], model)
         return batch.filter(pa.array(1 - below[:, 0] < threshold))
 
-    return map_batches(docs, docs.schema, work)
+    return map_batches(plain, plain.schema, work).toDF(*docs.columns)
