@@ -2,8 +2,9 @@
 
 A plain ``sum().over(partitionBy(group).orderBy(value))`` sorts a group in a single task, and two
 models (or a handful of features) then occupy a handful of tasks however large the cluster is. Here
-the value range is cut at approximate quantiles; the window runs per (group, bucket), and the totals
-of the earlier buckets are added from a table with one row per (group, bucket).
+equal values are merged, the merged rows are parted by range of (group, value) and stored with the number of their part;
+the window runs per (group, part), and the totals of the earlier parts of the group are added from a table with one row
+per (group, part). Where the parts are cut is Spark's range partitioner's business: neither the plan nor the driver holds cuts.
 """
 
 from __future__ import annotations
@@ -11,24 +12,12 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 1_000_000     # the number of buckets has no limit; the driver holds one cut per bucket
-LOOKED_AT = 20      # rows per bucket that decide where to cut
+from scorelake.session import scratch_path
 
-
-def _cut_points(rows: DataFrame, value: str, buckets: int, n: int) -> list[float]:
-    """Approximate quantiles. They decide how evenly tasks are loaded, not what comes out."""
-    shares = [i / buckets for i in range(1, buckets)]
-    share = min(1.0, LOOKED_AT * buckets / n)
-    for seen in [rows.sample(share, seed=1), rows] if share < 1 else [rows]:     # all rows when the sample shows no cut
-        found = seen.agg(F.percentile_approx(value, shares, 5 * buckets).alias("q")).first()["q"] or []
-        cuts = sorted(set(float(v) for v in found if not math.isinf(v)))
-        if cuts:
-            return cuts
-    return []
+ROWS_PER_BUCKET = 1_000_000     # the number of parts has no limit
 
 
 def ordered_totals(rows: DataFrame, group: Sequence[str], value: str, weights: Mapping[str, Column],
@@ -41,49 +30,41 @@ def ordered_totals(rows: DataFrame, group: Sequence[str], value: str, weights: M
     ``<w>`` (this value), ``<w>_upto`` (this value and all before it) and ``<w>_total`` (the group).
 
     Equal values are merged before the shuffle, so a value shared by a third of all rows costs one
-    row per task. The number of buckets grows with the row count (``row_count``, an upper bound will do).
+    row per task. The number of parts grows with the row count (``row_count``, an upper bound will do).
     """
     group = list(group)
     n = rows.count() if row_count is None else row_count
-    buckets = math.ceil(n / rows_per_bucket)
+    parts = math.ceil(n / rows_per_bucket)
     order = F.col(value).desc() if descending else F.col(value).asc()
-    aggs = [agg.alias(w) for w, agg in weights.items()]
-
-    cuts = _cut_points(rows, value, buckets, n) if buckets > 1 else []
-    if not cuts:        # one bucket, or all quantiles infinite
-        hist = rows.groupBy(*group, value).agg(*aggs)
-        whole = Window.partitionBy(*group)
+    merged = rows.groupBy(*group, value).agg(*[agg.alias(w) for w, agg in weights.items()])
+    whole = Window.partitionBy(*group)
+    if parts <= 1:
         upto = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return hist.select(
+        return merged.select(
             "*",
             *[F.sum(w).over(upto).alias(f"{w}_upto") for w in weights],
             *[F.sum(w).over(whole).alias(f"{w}_total") for w in weights],
         )
 
-    splits = [-math.inf, *cuts, math.inf]
-    bucketed = (Bucketizer(splits=splits, inputCol=value, outputCol="_bucket").transform(rows)
-                .withColumn("_bucket", F.col("_bucket").cast("int")))
-    by_bucket = [*group, "_bucket"]
-    within = (
-        Window.partitionBy(*by_bucket).orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    merged = bucketed.groupBy(*by_bucket, value).agg(*aggs)
-    hist = merged.select("*", *[F.sum(w).over(within).alias(f"_{w}_in") for w in weights])
-    # One row per (group, bucket), summed from the merged values, whose shuffle serves both. No broadcast hint: both
-    # sides end up partitioned by (group, bucket), and adaptive execution broadcasts only when it fits.
-    whole = Window.partitionBy(*group)
-    bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    before = whole.orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
+    path = scratch_path(rows.sparkSession, "ordered")
+    spread = merged.repartitionByRange(parts, *group, order)
+    spread.withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    # Read again, so that parts are what they were even if a task has to be run again.
+    parted = rows.sparkSession.read.parquet(path)
+    by_part = [*group, "_part"]
+    within = Window.partitionBy(*by_part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        merged.groupBy(*by_bucket).agg(*[F.sum(w).alias(w) for w in weights])
+        parted.groupBy(*by_part).agg(*[F.sum(w).alias(w) for w in weights])
         .select(
-            *by_bucket,
+            *by_part,
             *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"_{w}_before") for w in weights],
             *[F.sum(w).over(whole).alias(f"{w}_total") for w in weights],
         )
     )
-    return hist.join(offsets, by_bucket).select(
+    hist = parted.select("*", *[F.sum(w).over(within).alias(f"_{w}_in") for w in weights])
+    # No broadcast hint: both sides end up partitioned by (group, part), and adaptive execution broadcasts only when it fits.
+    return hist.join(offsets, by_part).select(
         *group, value, *weights,
         *[(F.col(f"_{w}_in") + F.col(f"_{w}_before")).alias(f"{w}_upto") for w in weights],
         *[f"{w}_total" for w in weights],
