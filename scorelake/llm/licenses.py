@@ -59,6 +59,7 @@ SCHEMA = ("n_words long, n_base long, first_word long, last_word long, base_labe
 
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:_-]+")
+_TAG_TOKEN = re.compile(r"[()/]|[A-Za-z0-9.+:_-]+")
 
 
 def to_postfix(expression: str | list[str]) -> list[str] | None:
@@ -96,6 +97,48 @@ def to_postfix(expression: str | list[str]) -> list[str] | None:
     return out + stack[::-1]
 
 
+def leading_expression(text: str) -> tuple[str, list[str], bool]:
+    """The longest well-formed expression that ``text`` begins with, as text and in tokens, and whether it breaks off there (an
+    operator or bracket follows that leads nowhere). A slash reads as "or"; prose, a dash, a comment's end or the end of a
+    sentence end an expression."""
+    tokens: list[str] = []
+    good, good_end, depth, operand_due, broken = 0, 0, 0, True, False
+    for match in _TAG_TOKEN.finditer(text):
+        token, ends = match.group(), False
+        word = "or" if token == "/" else token.lower()
+        if word not in ("(", ")", "or", "and", "with"):
+            name = token.rstrip(".:_-")
+            ends = token[-1] in ".:"
+            if not operand_due or not _identifier(name):
+                break
+            word, operand_due = name, False
+        elif word == "(":
+            if not operand_due:
+                break
+            depth += 1
+        elif word == ")":
+            if operand_due or not depth:
+                break
+            depth -= 1
+        elif operand_due:
+            break
+        else:
+            operand_due = True
+        tokens.append(word)
+        broken = True
+        if not operand_due and not depth:
+            good, broken = len(tokens), False
+            good_end = match.start() + len(name) if word not in (")",) else match.end()
+        if ends:
+            break
+    return text[:good_end].strip(), tokens[:good], broken
+
+
+def _identifier(name: str) -> bool:
+    """Licence identifiers are known, or have a digit, a dash or a capital letter; other words are prose."""
+    return bool(name) and (family(name.lower()) in BURDEN or any(c.isdigit() or c.isupper() or c == "-" for c in name))
+
+
 @lru_cache(maxsize=4096)
 def family(identifier: str) -> str:
     """Label of a licence identifier: the longest known label that it starts with, else the identifier itself."""
@@ -158,10 +201,16 @@ class Scanner:
                     base_labels.add(label)
         expressions, malformed, labels, burden, doubt = [], [], set(base_labels), None, 1.0
         for text, kind in self._statements(raw, words, places, tagged):
-            postfix = to_postfix(text)
-            shown = text.strip() if isinstance(text, str) else " ".join(text)
+            if kind == "tag":
+                shown, tokens, broken = leading_expression(text)
+                postfix = to_postfix(tokens)
+                if postfix is None or broken:
+                    malformed.append(text.strip())
+            else:
+                shown, postfix = " ".join(text), to_postfix(text)
+                if postfix is None:
+                    malformed.append(shown)
             if postfix is None:
-                malformed.append(shown)
                 continue
             expressions.append(shown)
             named, weight = evaluate(postfix)
@@ -175,7 +224,7 @@ class Scanner:
         if tagged:
             text = raw.decode("utf-8", "replace")
             for tag in self.tags:
-                for match in re.finditer(re.escape(tag) + r"[ \t]*([A-Za-z0-9.+:_() \t-]+)", text, re.IGNORECASE):
+                for match in re.finditer(re.escape(tag) + r"[ \t]*([A-Za-z0-9.+:_()/ \t-]+)", text, re.IGNORECASE):
                     yield match.group(1), "tag"
         places = sorted(set(places))
         starts = [p[0] for p in places]
