@@ -26,3 +26,17 @@ def feature_importance(spark: SparkSession, models: Mapping[str, PipelineModel],
             rows += [(name, f, None, float(v), abs(float(v))) for f, v in zip(features, last.coefficients.toArray())]
     return spark.createDataFrame(rows, SCHEMA).orderBy(
         "model", F.coalesce("importance", "abs_coefficient").desc(), "feature")
+
+
+def model_type(model: PipelineModel) -> str:
+    """Class of the fitted machine: the last stage but for calibration steps."""
+    machines = [s for s in model.stages if hasattr(s, "featureImportances") or hasattr(s, "coefficients")]
+    return type((machines or model.stages)[0]).__name__
+
+
+def with_model_type(record: DataFrame, models: Mapping[str, PipelineModel], others: str = "SoftVote") -> DataFrame:
+    """Add ``model_type`` to a metrics record; models that aren't in ``models`` (the vote) get ``others``."""
+    kind = F.lit(others)
+    for name, model in models.items():
+        kind = F.when(F.col("model") == name, model_type(model)).otherwise(kind)
+    return record.withColumn("model_type", kind)

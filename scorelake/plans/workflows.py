@@ -111,7 +111,8 @@ def train_and_evaluate(spark: SparkSession, splits: DataFrame, out: str, feature
     finally:
         table.unpersist()
     predictions = spark.read.parquet(f"{out}/predictions").select("model", "row_id", "y", "pred", "score")
-    record = evaluate(spark, predictions, out)
+    record = inspection.with_model_type(evaluate(spark, predictions, out), models)
+    tables.write_json(record.select("model", "model_type"), f"{out}/model_types")
     return {"metrics": record, "models": models, "fold_test": significance.t_test(scores),
             "row_test": significance.mcnemar_test(predictions) if len(models) > 1 else None}
 

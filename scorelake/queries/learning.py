@@ -16,7 +16,7 @@ from scorelake.operators import compare, metrics, sampling, scoring
 from scorelake.operators.metrics import model_metrics
 from scorelake.functions.text import parse_prediction, render_prompt
 from scorelake.queries import inputs
-from scorelake.queries.data import split_sql
+from scorelake.queries.data import _folds_sql, split_sql
 from scorelake.queries.evaluation import CELLS_SQL, CLASSES_SQL, HARD_SQL, _fold_scores, _FOLD_SCORES, _r
 from scorelake.queries.inputs import ANSWERS_SQL, FEATURES, FEATURES_SQL, PREDICTIONS_SQL
 from scorelake.queries.registry import query
@@ -99,6 +99,31 @@ def train_lr(spark, sf_dir):
     return _checked(_evaluate(spark, sf_dir, "LogisticRegression"))
 
 
+@query("model_record", *_TEST_SQL, f"""
+select r.*, case model when 'Ensemble' then 'SoftVote' else 'LogisticRegressionModel' end as model_type
+from ({_record_sql("LogisticRegression", "Ensemble")}) r""")
+def model_record(spark, sf_dir):
+    """The record of a model and of its vote with itself, with the kind of model."""
+    models = _fitted(spark, sf_dir, "LogisticRegression")
+    twice = {**models, "Again": models["LogisticRegression"]}
+    predicted = _stored(spark, training.predict(twice, _test(spark, sf_dir), ensemble=True).where("model <> 'Again'"))
+    return inspection.with_model_type(_checked(model_metrics(predicted)), models)
+
+
+@query("fold_predictions", *_TEST_SQL[:2], *_folds_sql("row_id", 3, "planted")[:1], f"""
+select 'LogisticRegression' as model, fold, count(*) as attempted, count(*) filter (where y = 1) as support_1, true as ranks_well
+from ({_folds_sql("row_id", 3, "planted")[1]}) f group by fold""")
+def fold_predictions(spark, sf_dir):
+    """Out-of-fold predictions: every row once, by a model that hasn't seen its fold."""
+    found = training.cross_validate(_folds(spark, sf_dir, 3), training.registry(["LogisticRegression"]), 3, parallelism=3)
+    found = _stored(spark, found)
+    parts = found.withColumn("model", F.concat_ws("|", "model", "fold"))
+    record = model_metrics(parts)
+    fold = F.split("model", r"\|")
+    return record.select(fold[0].alias("model"), fold[1].cast("int").alias("fold"), "attempted", (F.col("fn") + F.col("tp")).alias("support_1"),
+                         (F.col("auc_roc") > 0.8).alias("ranks_well"))
+
+
 @query("train_rf", *_TEST_SQL, _record_sql("RandomForest"))
 def train_rf(spark, sf_dir):
     return _checked(_evaluate(spark, sf_dir, "RandomForest"))

@@ -78,7 +78,8 @@ def test_workflows(spark, sf_dir, tmp_path):
     small = {"RandomForest": {"numTrees": 5, "maxDepth": 5}}
     run = train_and_evaluate(spark, splits, str(tmp_path / "run"), inputs.FEATURES, "y", "row_id",
                              names=["RandomForest", "LogisticRegression"], n_folds=5, overrides=small)
-    assert {r.model for r in run["metrics"].collect()} == {"RandomForest", "LogisticRegression", "Ensemble"}
+    assert {(r.model, r.model_type) for r in run["metrics"].collect()} == {
+        ("RandomForest", "BaggedForestModel"), ("LogisticRegression", "LogisticRegressionModel"), ("Ensemble", "SoftVote")}
     assert all(r.accuracy > 0.8 for r in run["metrics"].collect())
     assert run["fold_test"]["pairs"] == 5
     assert set(os.listdir(tmp_path / "run")) >= {"fold_scores", "history", "status", "models", "importance", "predictions",
