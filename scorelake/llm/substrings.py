@@ -178,7 +178,8 @@ def _shared_runs(firsts: DataFrame, window: int) -> DataFrame:
     runs = (firsts.select("id", "th", F.explode(F.arrays_zip("anchors", "starts", stops.alias("stops"))).alias("r"))
             .select("id", "th", F.col("r.anchors").alias("anchor"), F.col("r.starts").alias("start"), F.col("r.stops").alias("stop")))
     shared = runs.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    return (runs.join(shared.select("anchor"), "anchor").groupBy("id", "th")
+    # Stored, as are the owners below: a join of two plain shuffles can split a key that many rows share.
+    return (runs.join(stored(shared.select("anchor"), "shared-anchors"), "anchor").groupBy("id", "th")
             .agg(F.collect_list(F.struct("start", "stop")).alias("runs")))
 
 
@@ -205,6 +206,7 @@ def _window_digests(passages: DataFrame, window: int) -> DataFrame:
 def _segments(windows: DataFrame) -> DataFrame:
     """``id, th, owner, start, stop``: neighbouring windows with one owner, which is the smallest id that has them."""
     owned = windows.groupBy("a", "b").agg(F.min("id").alias("owner"), F.max("id").alias("most")).where("owner < most").drop("most")
+    owned = stored(owned, "owners")
     text = Window.partitionBy("id", "th").orderBy("pos")
     before = F.lag(F.struct("pos", "owner")).over(text)
     new = F.coalesce((F.col("pos") > before["pos"] + 1) | (F.col("owner") != before["owner"]), F.lit(True))
@@ -326,6 +328,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         F.first("n_removed").alias("some"), F.first("kept").alias("kept")), "edited")
     side = (classes.join(edited.select("words_sha", "some", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha")), "words_sha", "left")
             .where("first < last or some is not null"))
+    side = stored(side, "changed-classes")
     copy = F.col("id") > F.col("first")
     own = (F.col("id") == F.col("first")) & F.col("some").isNotNull()
     result = summary.select("id", "n_words", "words_sha").join(side, "words_sha", "left").select(
