@@ -7,7 +7,7 @@ rate, so a larger table means other rows in every bag instead of a larger task.
 kept as Parquet.
 
 Rows are scored against blocks of whole trees of at most ``BLOCK_NODES`` nodes: one block is sent to the tasks that
-hold the rows; a larger forest deals the rows out to its blocks and adds the blocks' votes per row.
+hold the rows; of a larger forest the tasks read one block after the other from the node table and add up the votes.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.fs as arrow_fs
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -27,7 +29,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasSeed
 from pyspark.ml.util import (
     DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter,
 )
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake import config
@@ -38,7 +40,8 @@ from scorelake.session import scratch_path
 NODES = "tree int, node int, feature int, cut double, left int, right int, share double, gain double"
 MAX_BAG_ROWS = 1_000_000
 BLOCK_NODES = 2_000_000            # 80 MB of nodes
-ROWS_AT_ONCE = 65_536
+VALUES_HELD = 4_000_000            # feature values that a task holds while it reads a larger forest
+_USED = ["tree", "node", "feature", "cut", "left", "right", "share"]
 _DRAWS = 12                        # a row is drawn at most so many times: beyond 1e-10
 
 
@@ -53,11 +56,11 @@ def draws(row_id: Column, tree: Column, seed: int, rate: float) -> Column:
     return out
 
 
-def best_cuts(value: np.ndarray, node: np.ndarray, w0: np.ndarray, w1: np.ndarray, least: int,
+def best_cuts(v: np.ndarray, at: np.ndarray, w0: np.ndarray, w1: np.ndarray, least: int,
               n_nodes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per node the best split by one feature: (sum over both sides of squared class weights over weight, cut); -inf without."""
-    order = np.lexsort((value, node))
-    v, at, a, b = value[order], node[order], np.cumsum(w0[order]), np.cumsum(w1[order])
+    """Per node the best split by one feature: (sum over both sides of squared class weights over weight, cut); -inf without.
+    Rows come in the order of their node ``at`` and, within it, of their value ``v``."""
+    a, b = np.cumsum(w0), np.cumsum(w1)
     starts = np.searchsorted(at, np.arange(n_nodes))
     ends = np.searchsorted(at, np.arange(n_nodes), side="right")
     base0, base1 = np.concatenate([[0], a])[starts], np.concatenate([[0], b])[starts]
@@ -86,12 +89,16 @@ def best_cuts(value: np.ndarray, node: np.ndarray, w0: np.ndarray, w1: np.ndarra
 
 def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, subset: int, least: int, depth: int, seed: int) -> dict[str, np.ndarray]:
     """One tree, level by level, all nodes of a level at once. Rows with ``x <= cut`` go left. Per node ``subset`` features
-    in random order are tried, more until one of them splits. ``depth`` 0 means no limit."""
+    in random order are tried, more until one of them splits. ``depth`` 0 means no limit. Every feature is sorted once: a
+    level keeps the rows in the order of (node, value) by parting each node's rows into left and right."""
     rng = np.random.default_rng(seed)
     n_features = x.shape[1]
     w0, w1 = weight * (y == 0), weight * (y == 1)
     columns: dict[str, list] = {k: [] for k in ("feature", "cut", "left", "right", "share", "gain")}
     rows, node, made, level, ids = np.arange(len(y)), np.zeros(len(y), np.int64), 1, 0, np.zeros(1, np.int64)
+    values = np.ascontiguousarray(x.T)
+    orders, at = [np.argsort(v, kind="stable") for v in values], node
+    to_right = np.zeros(len(y), bool)
     while len(ids):
         n = len(ids)
         t0 = np.bincount(node, w0[rows], n)
@@ -101,9 +108,11 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, subset: int, least: i
         cut = np.zeros((n_features, n))
         impure = (t0 > 0) & (t1 > 0) & ((depth == 0) | (level < depth))
         if impure.any():
-            some = impure[node]
-            for f in range(n_features):
-                score[f], cut[f] = best_cuts(x[rows[some], f], node[some], w0[rows[some]], w1[rows[some]], least, n)
+            some = impure[at]
+            at = at[some]
+            for f, v in enumerate(values):
+                orders[f] = orders[f][some]
+                score[f], cut[f] = best_cuts(v[orders[f]], at, w0[orders[f]], w1[orders[f]], least, n)
         # Features in a random order per node: the best of the first ``subset``, or the first that splits at all.
         order = rng.random((n, n_features)).argsort(axis=1)
         ranked = np.take_along_axis(score.T, order, axis=1)
@@ -127,6 +136,14 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, subset: int, least: i
         place = np.cumsum(split) - 1
         right = x[rows, feature[own]] > cut[feature[own], own]
         node = 2 * place[own] + right
+        if len(inner):
+            to_right[rows], some = right, split[at]
+            at = np.repeat(np.arange(2 * len(inner)), np.bincount(node, minlength=2 * len(inner)))
+            lefts = at % 2 == 0
+            for f, order in enumerate(orders):
+                order = order[some]
+                turned, orders[f] = to_right[order], np.empty_like(order)
+                orders[f][lefts], orders[f][~lefts] = order[~turned], order[turned]
         ids = np.arange(made, made + 2 * len(inner))
         made += 2 * len(inner)
         level += 1
@@ -156,6 +173,23 @@ def node_table(rows: DataFrame, trees: int, subset: int, least: int, depth: int,
     return drawn.repartition(trees, "tree").groupBy("tree").applyInArrow(one, NODES)
 
 
+def stored_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """The node table in a folder, by tree or not."""
+    return spark.read.schema(NODES).parquet(path).select(*[c.split()[0] for c in NODES.split(", ")])
+
+
+def node_files(files: list[str]) -> ds.Dataset:
+    """The files of a node table, opened in a task."""
+    opened = [arrow_fs.FileSystem.from_uri(f) for f in files]
+    by_tree = ds.partitioning(pa.schema([("tree", pa.int32())]), flavor="hive")
+    return ds.dataset([path for _, path in opened], filesystem=opened[0][0], format="parquet", partitioning=by_tree)
+
+
+def trees_of(table: ds.Dataset, first: int, end: int) -> pa.Table:
+    """Nodes of the trees from number ``first`` to before ``end``."""
+    return table.to_table(columns=_USED, filter=(ds.field("tree") >= first) & (ds.field("tree") < end))
+
+
 class Block:
     """Whole trees as arrays: votes for class 1 of many rows at once, level by level."""
 
@@ -187,7 +221,7 @@ class Block:
 
 def _arrays(table: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
     return [table.column(k).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(k).to_numpy()
-            for k in ("tree", "node", "feature", "cut", "left", "right", "share")]
+            for k in _USED]
 
 
 class _ForestParams(HasFeaturesCol, HasLabelCol, HasSeed):
@@ -227,8 +261,8 @@ class BaggedForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultParam
         subsets = {"sqrt": max(1, int(math.sqrt(size))), "log2": max(1, int(math.log2(size))), "all": size}
         path = scratch_path(dataset.sparkSession, "forest")
         node_table(rows, get("numTrees"), subsets[get("featureSubsetStrategy")], get("minInstancesPerNode"), get("maxDepth"),
-                   get("seed"), min(1.0, get("maxBagRows") / n), balanced(counts)).write.parquet(path)
-        nodes = dataset.sparkSession.read.schema(NODES).parquet(path)
+                   get("seed"), min(1.0, get("maxBagRows") / n), balanced(counts)).write.partitionBy("tree").parquet(path)
+        nodes = stored_nodes(dataset.sparkSession, path)
         # Per tree the gains add up to one, trees count alike.
         shares = (nodes.where("feature >= 0").groupBy("tree", "feature").agg(F.sum("gain").alias("g")))
         whole = shares.groupBy("tree").agg(F.sum("g").alias("all")).where("all > 0")
@@ -262,15 +296,12 @@ class BaggedForestModel(Model, _ForestParams, MLReadable, MLWritable):
 
     def node_rows(self, spark) -> DataFrame:
         """The node table: ``tree, node, feature, cut, left, right, share, gain``; a leaf has feature -1."""
-        return spark.read.schema(NODES).parquet(self.getOrDefault(self.nodes))
+        return stored_nodes(spark, self.getOrDefault(self.nodes))
 
     def _transform(self, dataset, block_nodes: int = BLOCK_NODES):
-        nodes = self.node_rows(dataset.sparkSession)
-        if self.getOrDefault(self.nodeCount) <= block_nodes:
-            votes = self._near(nodes, vector_to_array(col(self.getOrDefault(self.featuresCol))))
-            scored = dataset.withColumn("probability", votes)
-        else:
-            scored = self._dealt(dataset, nodes, block_nodes)
+        nodes, x = self.node_rows(dataset.sparkSession), vector_to_array(col(self.getOrDefault(self.featuresCol)))
+        near = self.getOrDefault(self.nodeCount) <= block_nodes
+        scored = dataset.withColumn("probability", self._near(nodes, x) if near else self._dealt(nodes, x, block_nodes))
         scored = scored.withColumn("probability", self._probability(F.col("probability")))
         both = array_to_vector(F.array(F.lit(1.0) - F.col("probability"), F.col("probability")))
         return (scored.withColumn("prediction", (F.col("probability") > 0.5).cast("double"))
@@ -289,44 +320,37 @@ class BaggedForestModel(Model, _ForestParams, MLReadable, MLWritable):
 
         return vote(x)
 
-    def _dealt(self, dataset: DataFrame, nodes: DataFrame, block_nodes: int) -> DataFrame:
-        """Every row visits every block of trees; the blocks' votes are added per row."""
-        blocks = max(1, math.ceil(self.getOrDefault(self.nodeCount) / block_nodes))
-        salts = max(1, int(dataset.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
-        x = vector_to_array(col(self.getOrDefault(self.featuresCol)))
-        row = dataset.select("row_id", x.alias("x")).dropDuplicates(["row_id"])
-        asked = (row.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-                 .withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
-                 .select("block", "salt", "row_id", "x", *[F.lit(None).cast(t).alias(n) for n, t in
-                                                         (x.split() for x in NODES.split(", "))]))
-        kept = (nodes.withColumn("block", F.pmod("tree", F.lit(blocks)))
-                .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-        model = kept.select("block", "salt", F.lit(None).cast(row.schema["row_id"].dataType).alias("row_id"),
-                            F.lit(None).cast("array<double>").alias("x"), *nodes.columns)
-        both = (model.unionByName(asked).repartition(blocks * salts, "block", "salt")
-                .sortWithinPartitions("block", "salt", F.col("tree").isNull()))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, parts, block = None, [], None
+    def _dealt(self, nodes: DataFrame, x: Column, block_nodes: int) -> Column:
+        """Rows stay where they are: a task holds as many as ``VALUES_HELD`` allows and adds up the votes of one block of trees
+        after the other, read from the node table. So rows and trees are shuffled nowhere, however large the forest."""
+        files, trees = nodes.inputFiles(), self.getOrDefault(self.numTrees)
+        blocks = min(trees, math.ceil(self.getOrDefault(self.nodeCount) / block_nodes))
+        edges = [trees * k // blocks for k in range(blocks + 1)]
+
+        @F.pandas_udf("double")
+        def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            table = node_files(files)
+
+            def voted(held: list[np.ndarray]) -> Iterator[pd.Series]:
+                values = np.concatenate(held)
+                votes = np.zeros(len(values))
+                for first, end in zip(edges, edges[1:]):
+                    votes += Block(*_arrays(trees_of(table, first, end))).votes(values)
+                yield from (pd.Series(part) for part in np.split(votes, np.cumsum([len(v) for v in held])[:-1]))
+
+            held: list[np.ndarray] = []
             for batch in batches:
-                keys = batch.column(0).to_numpy() * salts + batch.column(1).to_numpy()
-                is_node = batch.column("tree").is_valid().to_numpy(zero_copy_only=False)
-                edges = np.flatnonzero(np.diff(keys * 2 + ~is_node)) + 1
-                for a, b in zip([0, *edges], [*edges, batch.num_rows]):
-                    piece = batch.slice(a, b - a)
-                    if keys[a] != held:
-                        held, parts, block = keys[a], [], None
-                    if is_node[a]:
-                        parts.append(piece)
-                        continue
-                    block = block or Block(*_arrays(pa.Table.from_batches(parts)))
-                    values = piece.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(piece), -1)
-                    yield pa.RecordBatch.from_arrays([piece.column("row_id"), pa.array(block.votes(values))], ["row_id", "votes"])
-
-        id_type = row.schema["row_id"].dataType.simpleString()
-        votes = both.mapInArrow(run, f"row_id {id_type}, votes double").groupBy("row_id").agg(
-            F.sum("votes").alias("probability"))
-        return dataset.join(votes, "row_id")
+                if not len(batch):
+                    yield pd.Series([], dtype=float)
+                    continue
+                held.append(np.stack(batch.to_numpy()))
+                if sum(v.size for v in held) >= VALUES_HELD:
+                    yield from voted(held)
+                    held = []
+            if held:
+                yield from voted(held)
+
+        return vote(x)
 
     def write(self) -> MLWriter:
         return _ForestWriter(self)
@@ -345,7 +369,7 @@ class _ForestWriter(MLWriter):
 
     def saveImpl(self, path: str) -> None:
         DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
-        self.instance.node_rows(self.sparkSession).write.mode("overwrite").parquet(f"{path}/nodes")
+        self.instance.node_rows(self.sparkSession).write.mode("overwrite").partitionBy("tree").parquet(f"{path}/nodes")
 
 
 class _ForestReader(MLReader):

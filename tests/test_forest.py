@@ -122,3 +122,18 @@ def test_reload_and_odd_tables(ring, tmp_path):
         round(sum(x) / 2, 6) for x in [[n.share for n in flat.stages[-1].node_rows(ring.sparkSession).collect()]]}
     with pytest.raises(ValueError):
         training.build("RandomForest").fit(ring.where("false"))
+
+
+def test_a_large_forest_is_read_by_the_tasks_and_rows_stay(ring):
+    """Neither rows nor trees are shuffled or joined for it, and rows may share an id."""
+    model = training.build("RandomForest", numTrees=9).fit(ring).stages[-1]
+    twice = ring.unionByName(ring)
+    dealt = model._transform(twice, block_nodes=150)
+    steps = [[df._jdf.queryExecution().executedPlan().toString().count(s) for s in ("Exchange", "Join")] for df in (twice, dealt)]
+    assert steps[0] == steps[1]
+    votes = {}
+    for r in dealt.collect():
+        votes.setdefault(r.row_id, []).append(r.probability[1])
+    near = {r.row_id: r.probability[1] for r in model._transform(ring).collect()}
+    assert all(len(v) == 2 and abs(v[0] - near[k]) < 1e-9 and abs(v[1] - near[k]) < 1e-9 for k, v in votes.items())
+    assert len(votes) == len(near)
