@@ -1,15 +1,16 @@
 """Boosted trees with second-order gains, grown level by level over binned rows.
 
 Features are cut into at most ``maxBins`` bins: at every value where a feature has that few, else at quantiles. Rows are kept
-as blocks of packed columns, one per Arrow batch. In each level one pass over the blocks adds up gradient and Hessian of the
-logistic loss per (node, feature, bin); tasks add up their blocks, and a tree of tasks adds up those sums (hundreds of short
-jobs per model: an RDD of blocks starts them several times faster than a DataFrame plan). The driver receives one table of
+as blocks of packed columns, one per Arrow batch. Before each tree one pass takes the margins one tree further and keeps gradient
+and Hessian of the logistic loss with the rows. In each level one pass adds them up per (node, feature, bin), for one of two
+children only: the other one's sums are what is left of the parent's. Tasks add up their blocks, and for many tasks a tree of
+tasks adds up those sums (hundreds of short jobs per model: an RDD of blocks starts them several times faster than a DataFrame plan). The driver receives one table of
 ``nodes x features x bins`` per level and picks the cuts. Sums are whole multiples of ``1 / UNIT``, so a tree doesn't
 depend on the order of adding.
 
 A cut's gain is ``GL^2 / (HL + r) + GR^2 / (HR + r) - G^2 / (H + r)`` with ridge term ``r``; a leaf's value is ``-G / (H + r)``
 times the step. Columns are drawn per tree, rows per tree by a digest of their id. Margins are stored with the rows every
-``KEEP`` trees, so a pass evaluates a few trees only. What the driver holds depends on trees and depth, not on rows.
+``KEEP`` trees, so a lost task goes back a few trees only. What the driver holds depends on trees and depth, not on rows.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from scorelake.session import scratch_path
 
 UNIT = 1 << 20
 KEEP = 10
+FEW_PARTS = 64                     # sums of so many tasks are added up by the driver, of more by tasks first
 LEAST_GAIN = 1e-6
 
 
@@ -68,13 +70,13 @@ class Tree:
         """Number of the leaf that each row falls into."""
         at = np.ones(len(binned), np.int64)
         highest = max(self.value, default=1)
-        feature, cut = np.full(highest + 1, -1), np.zeros(highest + 1, np.int64)
+        # A leaf leads to itself: its cut lies above all bins.
+        feature, cut, left = np.zeros(highest + 1, np.int64), np.full(highest + 1, np.iinfo(np.int16).max), np.arange(highest + 1)
         for k, (f, b) in self.inner.items():
-            feature[k], cut[k] = f, b
-        rows = np.arange(len(binned))
-        while len(rows := rows[feature[at[rows]] >= 0]):
-            here = at[rows]
-            at[rows] = 2 * here + (binned[rows, feature[here]] > cut[here])
+            feature[k], cut[k], left[k] = f, b, 2 * k
+        cut, flat, heads = cut.astype(np.int16), binned.reshape(-1), np.arange(len(binned)) * binned.shape[1]
+        for _ in range(max((k.bit_length() for k in self.inner), default=0)):
+            at = left[at] + (flat[heads + feature[at]] > cut[at])
         return at
 
     def margins(self, binned: np.ndarray) -> np.ndarray:
@@ -89,6 +91,19 @@ class Block:
     def __init__(self, row):
         self.y, self.margin, self.digest = (np.frombuffer(row[k], t) for k, t in (("y", np.int8), ("margin", np.float64), ("digest", np.int64)))
         self.bins = np.frombuffer(row["bins"], np.int16).reshape(len(self.y), -1)
+        self.g = self.h = np.zeros(0, np.int32)
+
+    def aim(self, last: Tree | None, positive: float, taken: tuple[int, int]) -> Block:
+        """The block before the next tree: margins with the ``last`` one, gradient and Hessian in whole units (0 for rows that
+        aren't drawn)."""
+        if last is not None:
+            self.margin = self.margin + last.margins(self.bins)
+        number, limit = taken
+        drawn = (self.digest ^ (number * 0x2545F4914F6CDD1D & (1 << 63) - 1)) * 0x9E3779B1 >> 11 & (1 << 30) - 1
+        p = 1 / (1 + np.exp(-self.margin))
+        weight = np.where(drawn < limit, np.where(self.y == 1, positive, 1.0), 0.0)
+        self.g, self.h = (np.rint(v * weight * UNIT).astype(np.int64) for v in (p - self.y, np.maximum(p * (1 - p), 1e-16)))
+        return self
 
 
 BLOCK = "y binary, margin binary, digest binary, bins binary"
@@ -120,30 +135,32 @@ def _with_margins(blocks: DataFrame, trees: Sequence[Tree]) -> DataFrame:
     return blocks.mapInArrow(run, BLOCK)
 
 
-def level_sums(blocks: RDD, trees: Sequence[Tree], growing: Tree, columns: Sequence[int], bins: int, first: int, positive: float,
-               taken: tuple[int, int]) -> np.ndarray:
-    """Sums of gradients and Hessians, shape (2, nodes, columns, bins), of the rows in the leaves from number ``first`` on."""
+def _aimed(rows: RDD, last: Tree | None, positive: float, taken: tuple[int, int]) -> RDD:
+    return rows.map(lambda block: block.aim(last, positive, taken), preservesPartitioning=True)
+
+
+def level_sums(blocks: RDD, growing: Tree, columns: Sequence[int], bins: int, asked: Sequence[int]) -> np.ndarray:
+    """Sums of gradients and Hessians, shape (2, nodes, columns, bins), of the rows in the ``asked`` leaves."""
+    shape = (2, len(asked), len(columns), bins)
+
     def run(rows) -> Iterator[np.ndarray]:
-        width = len(columns) * bins
-        sums = np.zeros((2, first * width), np.int64)
-        for row in rows:
-            block = Block(row)
-            margin = block.margin + sum(t.margins(block.bins) for t in trees)
-            node = growing.nodes(block.bins)
-            number, limit = taken
-            drawn = (block.digest ^ (number * 0x2545F4914F6CDD1D & (1 << 63) - 1)) * 0x9E3779B1 >> 11 & (1 << 30) - 1
-            open_ = (node >= first) & (drawn < limit)
-            p, y = 1 / (1 + np.exp(-margin[open_])), block.y[open_]
-            weight = np.where(y == 1, positive, 1.0)
-            both = ((p - y) * weight * UNIT, np.maximum(p * (1 - p), 1e-16) * weight * UNIT)
+        places = np.full(max(growing.value) + 1, -1)
+        places[list(asked)] = np.arange(len(asked))
+        sums = np.zeros((2, len(columns), len(asked) * bins), np.int64)
+        for block in rows:
+            place = places[growing.nodes(block.bins)]
+            open_ = np.flatnonzero(place >= 0)
+            head, binned, both = place[open_] * bins, block.bins[open_], (block.g[open_].astype(float), block.h[open_].astype(float))
             for k, f in enumerate(columns):
-                at = (node[open_] - first) * width + k * bins + block.bins[open_, f]
+                at = head + binned[:, f]
                 for total, values in zip(sums, both, strict=True):
                     # Floats hold sums of these whole numbers exactly: a block is far below 2**33 rows.
-                    total += np.bincount(at, np.rint(values), len(total)).astype(np.int64)
+                    total[k] += np.bincount(at, values, total.shape[1]).astype(np.int64)
         yield sums
 
-    return blocks.mapPartitions(run).treeReduce(np.add).reshape(2, first, len(columns), bins)
+    parts = blocks.mapPartitions(run)
+    total = parts.reduce(np.add) if blocks.getNumPartitions() <= FEW_PARTS else parts.treeReduce(np.add)
+    return total.reshape(2, len(columns), len(asked), bins).swapaxes(1, 2).reshape(shape)
 
 
 def best_cuts(sums: np.ndarray, columns: Sequence[int], ridge: float, least: float) -> dict[int, tuple]:
@@ -196,18 +213,23 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasSeed, DefaultParam
         cuts = bin_cuts(values, size, get("maxBins"))
         blocks = self._kept(packed(values, cuts))
         rng, trees, done = random.Random(get("seed")), [], 0
-        rows = blocks.rdd.persist(StorageLevel.MEMORY_AND_DISK)
+        positive, rows, before = get("positiveWeight"), blocks.rdd.map(Block), None
         try:
             for number in range(get("maxIter")):
                 columns = sorted(rng.sample(range(size), max(1, round(get("columnRate") * size))))
                 taken = (rng.getrandbits(60), round(get("subsamplingRate") * (1 << 30)))
-                trees.append(self._tree(rows, trees[done:], columns, max(len(c) for c in cuts) + 1, taken))
+                last = trees[-1] if len(trees) > done else None
+                aimed = _aimed(rows, last, positive, taken).persist(StorageLevel.MEMORY_AND_DISK)
+                trees.append(self._tree(aimed, columns, max(len(c) for c in cuts) + 1))
+                if before is not None:
+                    before.unpersist()
+                rows = before = aimed
                 if len(trees) - done >= KEEP and number + 1 < get("maxIter"):
-                    blocks = self._kept(_with_margins(blocks, trees[done:]))
-                    rows.unpersist()
-                    rows, done = blocks.rdd.persist(StorageLevel.MEMORY_AND_DISK), len(trees)
+                    blocks, done = self._kept(_with_margins(blocks, trees[done:])), len(trees)
+                    rows = blocks.rdd.map(Block)
         finally:
-            rows.unpersist()
+            if before is not None:
+                before.unpersist()
         return self._model(spark, trees, cuts)
 
     @staticmethod
@@ -216,14 +238,24 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasSeed, DefaultParam
         blocks.write.parquet(path)
         return blocks.sparkSession.read.schema(BLOCK).parquet(path)
 
-    def _tree(self, rows: RDD, recent: Sequence[Tree], columns: Sequence[int], bins: int, taken: tuple[int, int]) -> Tree:
+    def _tree(self, rows: RDD, columns: Sequence[int], bins: int) -> Tree:
         get = lambda name: self.getOrDefault(getattr(self, name))
-        tree, ridge = Tree(), get("ridge")
+        tree, ridge, above = Tree(), get("ridge"), {}
         for first in (1 << level for level in range(get("maxDepth"))):
-            sums = level_sums(rows, recent, tree, columns, bins, first, get("positiveWeight"), taken)
+            # Of two children that with the smaller Hessian is added up, the other is the rest of its parent, exactly.
+            pairs = sorted(above)
+            asked = [2 * k + above[k][1] for k in pairs] or [1]
+            found_sums = level_sums(rows, tree, columns, bins, asked)
+            sums = np.zeros((2, first, len(columns), bins), np.int64)
+            for place, k in enumerate(asked):
+                sums[:, k - first] = found_sums[:, place]
+                if pairs:
+                    sums[:, (k ^ 1) - first] = above[k // 2][0] - found_sums[:, place]
             found = best_cuts(sums, columns, ridge, get("minHessian"))
+            above = {}
             for place, (f, b, gain, gl, hl, gr, hr) in found.items():
                 k = first + place
+                above[k] = sums[:, place], int(hr < hl)
                 tree.inner[k], tree.gain[k] = (f, b), gain
                 del tree.value[k]
                 for child, g, h in ((2 * k, gl, hl), (2 * k + 1, gr, hr)):

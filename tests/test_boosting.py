@@ -105,3 +105,16 @@ def test_odd_tables(spark):
     assert model.transform(frame(spark, x, np.zeros(5)).where("false")).count() == 0
     with pytest.raises(ValueError):
         training.build("GradientBoosting").fit(frame(spark, x, np.zeros(5)).where("false"))
+
+
+def test_a_level_adds_up_one_child_of_two(spark, monkeypatch):
+    """The other child's sums are its parent's rest, and margins go on from tree to tree."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 20, (500, 3)).astype(float)
+    asked, plain_sums = [], boosting.level_sums
+    monkeypatch.setattr(boosting, "level_sums", lambda rows, tree, columns, bins, leaves: (
+        asked.append(list(leaves)) or plain_sums(rows, tree, columns, bins, leaves)))
+    training.build("GradientBoosting", maxIter=3, maxDepth=4).fit(frame(spark, x, (x[:, 0] * x[:, 1] > 90).astype(int)))
+    assert max(map(len, asked)) > 2
+    for leaves in asked:
+        assert leaves == [1] or len({k // 2 for k in leaves}) == len(leaves)
