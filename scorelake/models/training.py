@@ -22,6 +22,7 @@ from scorelake.operators.sampling import stratified_sample
 from scorelake.session import scratch_root
 
 MODEL_NAMES = list(config.MODEL_PARAMS)
+MOST_ROWS = 250_000
 
 
 def build(name: str, seed: int = config.RANDOM_STATE, **params) -> Pipeline:
@@ -49,10 +50,12 @@ def assemble(df: DataFrame, id_col: str, target: str, features: Sequence[str], m
     """(row_id, y, features, ...): the only layout the models see. ``missing``: error or skip.
 
     Persist the result before fitting; every fit reads it many times. ``partitions`` spreads a table
-    that arrives in fewer pieces than there are cores; ``rows_per_partition`` sets their number by size instead.
+    that arrives in fewer pieces than there are cores; ``rows_per_partition`` sets their number by size instead: once every
+    core has one, partitions grow up to ``MOST_ROWS``, as fits run hundreds of short jobs whose time is that of starting tasks.
     """
     if rows_per_partition:
-        partitions = -(-df.count() // rows_per_partition) or 1
+        n, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+        partitions = min(-(-n // rows_per_partition), max(cores, -(-n // MOST_ROWS))) or 1
     inputs = df.select(col(id_col).alias("row_id"), col(target).cast("double").alias("y"),
                        *[col(f) for f in features], *[col(k) for k in keep])
     if partitions:

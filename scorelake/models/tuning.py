@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,31 +46,46 @@ class SearchResult:
             rows, "model string, params string, mean_score double, std_score double, position int")
 
 
+def _settled(model: PipelineModel) -> bool:
+    """The fit ended before its limit of iterations: any larger limit gives this very model."""
+    last = model.stages[-1]
+    return isinstance(last, LogisticRegressionModel) and last.hasSummary and last.summary.totalIterations < last.getMaxIter()
+
+
 def search(table: DataFrame, name: str, candidates: Sequence[dict], n_folds: int = 3, parallelism: int = 2) -> SearchResult:
     """Score every candidate on every fold of ``table`` (column ``fold``), refit the best on all rows.
 
+    Candidates that differ in ``maxIter`` alone share the fit with the smallest limit where that fit ended before it.
     Only accuracies reach the driver. Equal scores keep the order of the candidates.
     """
     scratch_root(table.sparkSession)
+    alike: dict[str, list[int]] = {}
+    for c, params in enumerate(candidates):
+        alike.setdefault(json.dumps({k: v for k, v in params.items() if k != "maxIter"}, sort_keys=True), []).append(c)
+    groups = [sorted(group, key=lambda c: candidates[c].get("maxIter", 0)) for group in alike.values()]
 
     def score(job):
-        c, f = job
-        model = build(name, **candidates[c]).fit(table.where(F.col("fold") != f))
-        hit = (F.col("prediction") == F.col("y")).cast("double")
-        accuracy = model.transform(table.where(F.col("fold") == f)).agg(F.avg(hit).alias("a")).first()["a"]
-        if accuracy is None:
-            raise ValueError(f"fold {f} has no rows")
-        return c, accuracy
-
-    jobs = [(c, f) for c in range(len(candidates)) for f in range(n_folds)]
-    found: dict[int, list[float]] = {}
-    for c, accuracy in run_fits(table.sparkSession, jobs, score, parallelism):
-        found.setdefault(c, []).append(accuracy)
+        group, f = job
+        found, settled, accuracy = [], False, None
+        for c in group:
+            if not settled:
+                model = build(name, **candidates[c]).fit(table.where(F.col("fold") != f))
+                hit = (F.col("prediction") == F.col("y")).cast("double")
+                accuracy = model.transform(table.where(F.col("fold") == f)).agg(F.avg(hit).alias("a")).first()["a"]
+                if accuracy is None:
+                    raise ValueError(f"fold {f} has no rows")
+                settled = "maxIter" in candidates[c] and _settled(model)
+            found.append((c, f, accuracy))
+        return found
+
+    jobs = [(group, f) for group in groups for f in range(n_folds)]
+    found = {(c, f): a for part in run_fits(table.sparkSession, jobs, score, parallelism) for c, f, a in part}
     scores = []
-    for c, values in found.items():
+    for c, params in enumerate(candidates):
+        values = [found[c, f] for f in range(n_folds)]
         mean = sum(values) / len(values)
         std = (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
-        scores.append({"params": candidates[c], "mean": mean, "std": std})
+        scores.append({"params": params, "mean": mean, "std": std})
     scores.sort(key=lambda s: -s["mean"])
     best = scores[0]
     return SearchResult(name, best["params"], best["mean"], build(name, **best["params"]).fit(table), scores)

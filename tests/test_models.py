@@ -229,3 +229,24 @@ def test_fit_rows_bound_the_fit_but_not_the_scoring(spark, ring):
 def test_an_empty_fold_is_named(ring):
     with pytest.raises(ValueError, match="fold"):
         tuning.grid_search(ring, "LogisticRegression", {"C": [1.0]}, n_folds=4)
+
+
+def test_partitions_grow_once_every_core_has_one(spark):
+    table = spark.range(4000).select(F.col("id").alias("row_id"), (F.col("id") % 2).alias("y"), F.col("id").cast("double").alias("a"))
+    cores = spark.sparkContext.defaultParallelism
+    parts = [training.assemble(table, "row_id", "y", ["a"], rows_per_partition=n).rdd.getNumPartitions() for n in (10, 4000)]
+    assert parts == [cores, 1]
+
+
+def test_candidates_share_a_fit_that_ended_before_its_limit(ring, monkeypatch):
+    fitted, plain = [], tuning.build
+    monkeypatch.setattr(tuning, "build", lambda name, **params: fitted.append(params) or plain(name, **params))
+    found = tuning.grid_search(ring, "LogisticRegression", {"C": [0.01, 1.0], "maxIter": [500, 300]})
+    assert len(fitted) == 2 * 3 + 1 and [s["params"]["maxIter"] for s in found.scores if s["params"]["C"] == 1.0] == [500, 300]
+    fitted.clear()
+    grid = {"C": [10.0], "maxIter": [1, 2, 400]}                    # the first two limits bind
+    found = tuning.grid_search(ring, "LogisticRegression", grid)
+    assert len(fitted) == 3 * 3 + 1
+    for s in found.scores:
+        alone = tuning.search(ring, "LogisticRegression", [s["params"]])
+        assert (s["mean"], s["std"]) == (alone.best_score, alone.scores[0]["std"])
