@@ -250,3 +250,13 @@ def test_candidates_share_a_fit_that_ended_before_its_limit(ring, monkeypatch):
     for s in found.scores:
         alone = tuning.search(ring, "LogisticRegression", [s["params"]])
         assert (s["mean"], s["std"]) == (alone.best_score, alone.scores[0]["std"])
+
+
+def test_kernel_machines_hold_few_mapped_copies(ring, monkeypatch):
+    svm = stages.KernelSVM(components=20, maxIter=5, calibrationFolds=2)
+    assert svm._at_once(ring) == svm.getOrDefault("parallelism")
+    before = svm.fit(ring)
+    monkeypatch.setattr(stages, "HELD_BYTES", 1000)
+    assert svm._at_once(ring) == 1 and stages.KernelSVM(kernel="poly")._width(2) == 9
+    rows = lambda m: sorted((r.row_id, round(r.probability[1], 9)) for r in m.transform(ring).collect())
+    assert rows(svm.fit(ring)) == rows(before)
