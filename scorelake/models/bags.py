@@ -9,8 +9,10 @@ the runs before it hold. The driver receives sums per run and open node, and the
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ DRAWS = 12                         # a row is drawn at most so many times: beyon
 UNIT = 1 << 20
 RUN_VALUES = 1_000_000             # feature values of a sorted run
 PIECES_AT_ONCE = 10
-PIECE = "part int, tree int, node int, kinds string, x binary, c binary"
+PIECE = "part int, unit int, node int, kinds string, x binary, c binary"
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (
     0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -256,14 +258,28 @@ def grow_tops(runs: RDD, trees: int, size: int, subset: int, least: int, depth:
     return tops
 
 
-def dealt(rows: DataFrame, trees: int, seed: int, rate: float, tops: Sequence[Top] | None) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """Packed pieces of the bags of ``id, y, x`` rows, and the (tree, node) that grows in each partition; node 0 is a whole tree."""
-    groups = [(tree, node) for tree in range(trees) for node in ([0] if tops is None else tops[tree].ready)]
-    parts = {of: part for part, of in enumerate(groups)}
-    edges = limits(rate)
+class Unit(NamedTuple):
+    """A tree to grow, from the rows of a part of the table (its place in ``within``; None: all rows)."""
+    tree: int
+    seed: int
+    rate: float
+    part: int | None = None
+
+
+def dealt(rows: DataFrame, n: int, size: int, units: Sequence[Unit], tops: Sequence[Top] | None, most: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Packed pieces of the units' bags of ``id, y, x`` rows (with ``within`` where units have parts), and the (unit, node) that they are for;
+    node 0 is a whole tree. Pieces come in that order within partitions of at most ``most`` feature values, or of one piece of a tree."""
+    groups = [(unit, node) for unit in range(len(units)) for node in ([0] if tops is None else tops[unit].ready)]
+    held = [n * (1 - math.exp(-units[unit].rate)) * size if tops is None else tops[unit].ready[node] * size for unit, node in groups]
+    aim, places, filled = min(most, sum(held) / (8 * rows.sparkSession.sparkContext.defaultParallelism)), [], math.inf
+    for values in held:
+        filled, place = (values, (places[-1] if places else -1) + 1) if filled + values > aim else (filled + values, places[-1])
+        places.append(place)
+    parts = {of: number for number, of in enumerate(groups)}
+    edges = {unit.rate: limits(unit.rate) for unit in units}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = [None if tops is None else np.array([parts.get((tree, k), -1) for k in range(len(tops[tree].feature))]) for tree in range(trees)]
+        numbers = None if tops is None else [np.array([parts.get((unit, k), -1) for k in range(len(top.feature))]) for unit, top in enumerate(tops)]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -273,23 +289,28 @@ def dealt(rows: DataFrame, trees: int, seed: int, rate: float, tops: Sequence[To
             # Values that single precision holds are sent in it.
             columns = [short if np.array_equal(short, v) else v for v, short in ((v, v.astype(np.float32)) for v in columns)]
             kinds = ",".join(v.dtype.str for v in columns)
+            within = None
+            if any(unit.part is not None for unit in units):
+                within = batch.column("within").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             made: list[tuple] = []
-            for tree in range(trees):
-                own, times = drawn(ids, tree, seed, edges)
-                part = np.full(len(own), parts[tree, 0]) if tops is None else places[tree][tops[tree].leaves(x[own])]
-                for k in [parts[tree, 0]] if tops is None else np.unique(part[part >= 0]).tolist():
-                    mine = part == k
-                    some = own[mine]
+            for number, unit in enumerate(units):
+                own, times = drawn(ids, unit.tree, unit.seed, edges[unit.rate])
+                if unit.part is not None:
+                    inside = within[own, unit.part]
+                    own, times = own[inside], times[inside]
+                of = None if tops is None else numbers[number][tops[number].leaves(x[own])]
+                for k in [number] if of is None else np.unique(of[of >= 0]).tolist():
+                    some, drawn_times = (own, times) if of is None else (own[of == k], times[of == k])
                     if len(some):
-                        made.append((k, *groups[k], kinds, b"".join(v[some].tobytes() for v in columns), (times[mine] << 1 | y[some]).tobytes()))
+                        made.append((places[k], *groups[k], kinds, b"".join(v[some].tobytes() for v in columns), (drawn_times << 1 | y[some]).tobytes()))
                 if len(made) >= PIECES_AT_ONCE:
                     yield _batch(made)
                     made = []
             if made:
                 yield _batch(made)
 
-    pieces = rows.mapInArrow(run, PIECE)
-    return pieces.repartitionById(max(1, len(groups)), F.col("part")), groups
+    pieces = rows.mapInArrow(run, PIECE).repartitionById(places[-1] + 1 if places else 1, F.col("part"))
+    return pieces.sortWithinPartitions("unit", "node"), groups
 
 
 def _batch(made: list[tuple]) -> pa.RecordBatch:
@@ -297,37 +318,29 @@ def _batch(made: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], [c.split()[0] for c in PIECE.split(", ")])
 
 
-def of_pieces(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Values (a row per feature), classes and draws of the rows of one partition."""
-    values: list[list[np.ndarray]] = []
-    codes: list[np.ndarray] = []
-    for batch in batches:
-        for kinds, x, c in zip(*(batch.column(k) for k in ("kinds", "x", "c"))):
-            codes.append(np.frombuffer(c.as_buffer(), np.int8))
-            at, n, found = 0, len(codes[-1]), []
-            for kind in map(np.dtype, kinds.as_py().split(",")):
-                found.append(np.frombuffer(x.as_buffer(), kind, n, at))
-                at += n * kind.itemsize
-            values.append(found)
-    if not codes:
-        return None
+def _unpacked(pieces: Sequence[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values (a row per feature), classes and draws."""
+    values, codes = [], [np.frombuffer(c.as_buffer(), np.int8) for _, _, c in pieces]
+    for (kinds, x, _), code in zip(pieces, codes):
+        at, found = 0, []
+        for kind in map(np.dtype, kinds.as_py().split(",")):
+            found.append(np.frombuffer(x.as_buffer(), kind, len(code), at))
+            at += len(code) * kind.itemsize
+        values.append(found)
     code, out = np.concatenate(codes), np.empty((len(values[0]), sum(map(len, codes))))
     for f in range(len(out)):
         np.concatenate([found[f] for found in values], out=out[f], casting="same_kind")
     return out, code & 1, code >> 1
 
 
-def grown(pieces: DataFrame, grow: Callable[..., tuple], schema: str) -> DataFrame:
-    """``grow`` of the rows of every partition."""
+def grown(pieces: DataFrame, grow: Callable[..., pa.Table], schema: str) -> DataFrame:
+    """``grow`` of the rows of every unit and node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next((b for b in batches if b.num_rows), None)
-        if first is not None:
-            tree, node = first.column("tree")[0].as_py(), first.column("node")[0].as_py()
-
-            def every():
-                yield first
-                yield from batches
+        def every():
+            for batch in batches:
+                yield from zip(*(batch.column(k).to_pylist() for k in ("unit", "node")), *(batch.column(k) for k in ("kinds", "x", "c")))
 
-            yield from grow(tree, node, *of_pieces(every())).to_batches()
+        for of, found in itertools.groupby(every(), lambda piece: piece[:2]):
+            yield from grow(*of, *_unpacked([piece[2:] for piece in found])).to_batches()
 
     return pieces.mapInArrow(run, schema)

@@ -42,6 +42,7 @@ from scorelake.session import scratch_path
 
 UNIT = 1 << 20
 KEEP = 10
+SHARED_ROWS = 20_000_000           # rows that models of a search hold together: about 800 MB
 FEW_PARTS = 64                     # sums of so many tasks are added up by the driver, of more by tasks first
 LEAST_GAIN = 1e-6
 
@@ -99,7 +100,7 @@ class Block:
         self.bins = np.frombuffer(row["bins"], np.int16).reshape(len(self.y), -1)
         self.g = self.h = np.zeros(0, np.int32)
 
-    def aim(self, round_: Sequence[Tree] | None, positive: float, taken: tuple[int, int]) -> Block:
+    def aim(self, round_: Sequence[Tree] | dict[int, Tree] | None, positive: float, taken: tuple[int, int]) -> Block:
         """The block before the next tree: margins with the last one of its part, gradient and Hessian in whole units (0 for rows
         that aren't drawn)."""
         if round_ is not None:
@@ -138,23 +139,25 @@ def packed(values: DataFrame, cuts: Sequence[Sequence[np.ndarray]]) -> DataFrame
     return values.select("y", "digest", "x", *(["parts"] if len(cuts) > 1 else [])).mapInArrow(run, BLOCK)
 
 
-def _with_margins(blocks: DataFrame, rounds: Sequence[Sequence[Tree]]) -> DataFrame:
+def _with_margins(blocks: DataFrame, rounds: Sequence[dict[int, Tree]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             margins = []
             for row in batch.to_pylist():
                 block = Block(row)
-                margins.append((block.margin + sum(r[block.part].margins(block.bins) for r in rounds)).tobytes())
+                trees = [r[block.part] for r in rounds if block.part in r]
+                margins.append((block.margin + sum(tree.margins(block.bins) for tree in trees)).tobytes())
             yield batch.set_column(1, "margin", pa.array(margins, pa.binary()))
 
     return blocks.mapInArrow(run, BLOCK)
 
 
-def _aimed(rows: RDD, last: Sequence[Tree] | None, positive: float, taken: tuple[int, int]) -> RDD:
-    return rows.map(lambda block: block.aim(last, positive, taken), preservesPartitioning=True)
+def _aimed(rows: RDD, last: dict[int, Tree] | None, given: dict[int, tuple[float, tuple[int, int]]]) -> RDD:
+    """Blocks of the parts that go on, before their next tree; ``given`` holds the weight of class 1 and what is drawn."""
+    return rows.filter(lambda block: block.part in given).map(lambda block: block.aim(last, *given[block.part]), preservesPartitioning=True)
 
 
-def part_sums(blocks: RDD, asks: dict[int, tuple[Tree, Sequence[int]]], columns: Sequence[int], bins: Sequence[int]) -> dict[int, np.ndarray]:
+def part_sums(blocks: RDD, asks: dict[int, tuple[Tree, Sequence[int]]], columns: Sequence[Sequence[int]], bins: Sequence[int]) -> dict[int, np.ndarray]:
     """Per part (key of ``asks``: its tree and the leaves asked for) sums of gradients and Hessians of the rows in these leaves, shape
     (2, nodes, columns, bins); one job for all parts."""
     def run(rows) -> Iterator[list[np.ndarray]]:
@@ -164,14 +167,14 @@ def part_sums(blocks: RDD, asks: dict[int, tuple[Tree, Sequence[int]]], columns:
         for part, (tree, asked) in asks.items():
             places[part] = np.full(max(tree.value) + 1, -1)
             places[part][list(asked)] = np.arange(len(asked))
-        sums = {part: np.zeros((2, len(columns), len(asked) * bins[part]), np.int64) for part, (_, asked) in asks.items()}
+        sums = {part: np.zeros((2, len(columns[part]), len(asked) * bins[part]), np.int64) for part, (_, asked) in asks.items()}
         for block in rows:
             if block.part not in asks:
                 continue
             place = places[block.part][asks[block.part][0].nodes(block.bins)]
             open_ = np.flatnonzero(place >= 0)
             head, binned, both = place[open_] * bins[block.part], block.bins[open_], (block.g[open_].astype(float), block.h[open_].astype(float))
-            for k, f in enumerate(columns):
+            for k, f in enumerate(columns[block.part]):
                 at = head + binned[:, f]
                 for total, values in zip(sums[block.part], both, strict=True):
                     # Floats hold sums of these whole numbers exactly: a block is far below 2**33 rows.
@@ -183,13 +186,13 @@ def part_sums(blocks: RDD, asks: dict[int, tuple[Tree, Sequence[int]]], columns:
 
     parts = blocks.mapPartitions(run)
     total = parts.reduce(add) if blocks.getNumPartitions() <= FEW_PARTS else parts.treeReduce(add)
-    return {part: found.reshape(2, len(columns), len(asked), bins[part]).swapaxes(1, 2)
+    return {part: found.reshape(2, len(columns[part]), len(asked), bins[part]).swapaxes(1, 2)
             for (part, (_, asked)), found in zip(asks.items(), total, strict=True)}
 
 
 def level_sums(blocks: RDD, growing: Tree, columns: Sequence[int], bins: int, asked: Sequence[int]) -> np.ndarray:
     """:func:`part_sums` of the only part."""
-    return part_sums(blocks, {0: (growing, asked)}, columns, [bins])[0]
+    return part_sums(blocks, {0: (growing, asked)}, [columns], [bins])[0]
 
 
 def best_cuts(sums: np.ndarray, columns: Sequence[int], ridge: float, least: float) -> dict[int, tuple]:
@@ -236,41 +239,14 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasSeed, DefaultParam
 
     def fit_parts(self, dataset: DataFrame, parts: Sequence[Column | None]) -> list[BoostedTreesModel]:
         """A model per part, fitted on the rows where that condition holds (None: on all), all models side by side."""
-        get = lambda name: self.getOrDefault(getattr(self, name))
-        spark = dataset.sparkSession
-        own = [dataset if part is None else dataset.where(part) for part in parts]
-        for rows in own:
-            if not sum(class_counts(rows, get("labelCol")).values()):
-                raise ValueError("no rows to fit on")
-        inputs = [F.xxhash64(F.lit(get("seed")), "row_id").alias("digest"), col(get("labelCol")).cast("int").alias("y"),
-                  vector_to_array(col(get("featuresCol"))).alias("x")]
-        size = len(own[0].select(*inputs).select("x").first()["x"])
-        with ThreadPool(len(own)) as pool:
-            cuts = pool.map(inheritable_thread_target(spark)(lambda rows: bin_cuts(rows.select(*inputs), size, get("maxBins"))), own)
-        if len(parts) > 1:
-            inputs.append(F.array(*[F.lit(True) if part is None else F.coalesce(part, F.lit(False)) for part in parts]).alias("parts"))
-        blocks = self._kept(packed((own[0] if len(parts) == 1 else dataset).select(*inputs), cuts))
-        # Equal seeds draw equal columns and rows for all parts.
-        rng, rounds, done = random.Random(get("seed")), [], 0
-        positive, rows, before = get("positiveWeight"), blocks.rdd.map(Block), None
-        bins = [max(len(c) for c in own_cuts) + 1 for own_cuts in cuts]
-        try:
-            for number in range(get("maxIter")):
-                columns = sorted(rng.sample(range(size), max(1, round(get("columnRate") * size))))
-                taken = (rng.getrandbits(60), round(get("subsamplingRate") * (1 << 30)))
-                last = rounds[-1] if len(rounds) > done else None
-                aimed = _aimed(rows, last, positive, taken).persist(StorageLevel.MEMORY_AND_DISK)
-                rounds.append(self._round(aimed, columns, bins))
-                if before is not None:
-                    before.unpersist()
-                rows = before = aimed
-                if len(rounds) - done >= KEEP and number + 1 < get("maxIter"):
-                    blocks, done = self._kept(_with_margins(blocks, rounds[done:])), len(rounds)
-                    rows = blocks.rdd.map(Block)
-        finally:
-            if before is not None:
-                before.unpersist()
-        return [self._model(spark, [trees[part] for trees in rounds], own_cuts) for part, own_cuts in enumerate(cuts)]
+        return _fitted(dataset, parts, [(self, part) for part in range(len(parts))])
+
+    @staticmethod
+    def fit_many(dataset: DataFrame, parts: Sequence[Column], jobs: Sequence[tuple[BoostedTrees, int]]) -> list[BoostedTreesModel]:
+        """A model per (estimator, place of its part): models of a search, that share columns. As many grow side by side as hold at
+        most ``SHARED_ROWS`` rows together, or one."""
+        most = max(1, SHARED_ROWS // max(1, dataset.count()))
+        return [model for k in range(0, len(jobs), most) for model in _fitted(dataset, parts, jobs[k:k + most])]
 
     @staticmethod
     def _kept(blocks: DataFrame) -> DataFrame:
@@ -278,40 +254,25 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasSeed, DefaultParam
         blocks.write.parquet(path)
         return blocks.sparkSession.read.schema(BLOCK).parquet(path)
 
-    def _round(self, rows: RDD, columns: Sequence[int], bins: Sequence[int]) -> list[Tree]:
-        """The next tree of every part; a job for each level."""
-        growing, made = [self._growing(columns, b) for b in bins], [Tree() for _ in bins]
-        sums: dict[int, np.ndarray | None] = dict.fromkeys(range(len(bins)))
-        while sums:
-            asks = {}
-            for part, found in sums.items():
-                try:
-                    asks[part] = growing[part].send(found)
-                except StopIteration as end:
-                    made[part] = end.value
-            if not asks:
-                break
-            sums = {0: level_sums(rows, asks[0][0], columns, bins[0], asks[0][1])} if len(bins) == 1 else part_sums(rows, asks, columns, bins)
-        return made
-
     def _growing(self, columns: Sequence[int], bins: int) -> Generator[tuple[Tree, list[int]], np.ndarray, Tree]:
         """Grows a tree: per level it yields the tree and the leaves whose sums it wants, and is sent these."""
         get = lambda name: self.getOrDefault(getattr(self, name))
         tree, ridge, above = Tree(), get("ridge"), {}
-        for first in (1 << level for level in range(get("maxDepth"))):
+        for _ in range(get("maxDepth")):
             # Of two children that with the smaller Hessian is added up, the other is the rest of its parent, exactly.
             pairs = sorted(above)
             asked = [2 * k + above[k][1] for k in pairs] or [1]
             found_sums = yield tree, asked
-            sums = np.zeros((2, first, len(columns), bins), np.int64)
+            nodes = [2 * k + side for k in pairs for side in (0, 1)] or [1]
+            sums, places = np.zeros((2, len(nodes), len(columns), bins), np.int64), {k: place for place, k in enumerate(nodes)}
             for place, k in enumerate(asked):
-                sums[:, k - first] = found_sums[:, place]
+                sums[:, places[k]] = found_sums[:, place]
                 if pairs:
-                    sums[:, (k ^ 1) - first] = above[k // 2][0] - found_sums[:, place]
+                    sums[:, places[k ^ 1]] = above[k // 2][0] - found_sums[:, place]
             found = best_cuts(sums, columns, ridge, get("minHessian"))
             above = {}
             for place, (f, b, gain, gl, hl, gr, hr) in found.items():
-                k = first + place
+                k = nodes[place]
                 above[k] = sums[:, place], int(hr < hl)
                 tree.inner[k], tree.gain[k] = (f, b), gain
                 del tree.value[k]
@@ -343,3 +304,64 @@ class BoostedTreesModel(BaggedForestModel):
 
     def _probability(self, votes: Column) -> Column:
         return 1 / (1 + F.exp(-votes))
+
+
+def _fitted(dataset: DataFrame, parts: Sequence[Column | None], jobs: Sequence[tuple[BoostedTrees, int]]) -> list[BoostedTreesModel]:
+    """A model per (estimator, place of its part), all side by side: each is the one that a fit on its part alone gives."""
+    spark, first = dataset.sparkSession, jobs[0][0]
+    own = [dataset if part is None else dataset.where(part) for part in parts]
+    for rows in own:
+        if not sum(class_counts(rows, first.getOrDefault(first.labelCol)).values()):
+            raise ValueError("no rows to fit on")
+    get = lambda job, name: jobs[job][0].getOrDefault(getattr(jobs[job][0], name))
+    inputs = [F.xxhash64(F.lit(get(0, "seed")), "row_id").alias("digest"), col(get(0, "labelCol")).cast("int").alias("y"),
+              vector_to_array(col(get(0, "featuresCol"))).alias("x")]
+    size = len(own[0].select(*inputs).select("x").first()["x"])
+    with ThreadPool(len(own)) as pool:
+        found = pool.map(inheritable_thread_target(spark)(lambda rows: bin_cuts(rows.select(*inputs), size, get(0, "maxBins"))), own)
+    cuts = [found[part] for _, part in jobs]
+    if len(jobs) > 1:
+        within = [F.lit(True) if part is None else F.coalesce(part, F.lit(False)) for part in parts]
+        inputs.append(F.array(*[within[part] for _, part in jobs]).alias("parts"))
+    blocks = first._kept(packed((own[jobs[0][1]] if len(jobs) == 1 else dataset).select(*inputs), cuts))
+    # Equal seeds draw equal columns and rows.
+    draws, rounds, done = [random.Random(get(job, "seed")) for job in range(len(jobs))], [], 0
+    rows, before, most = blocks.rdd.map(Block), None, max(get(job, "maxIter") for job in range(len(jobs)))
+    bins = [max(len(c) for c in own_cuts) + 1 for own_cuts in cuts]
+    try:
+        for number in range(most):
+            columns, given = [()] * len(jobs), {}
+            for job, rng in enumerate(draws):
+                if number < get(job, "maxIter"):
+                    columns[job] = sorted(rng.sample(range(size), max(1, round(get(job, "columnRate") * size))))
+                    given[job] = get(job, "positiveWeight"), (rng.getrandbits(60), round(get(job, "subsamplingRate") * (1 << 30)))
+            last = rounds[-1] if len(rounds) > done else None
+            aimed = _aimed(rows, last, given).persist(StorageLevel.MEMORY_AND_DISK)
+            rounds.append(_round(aimed, {job: jobs[job][0]._growing(columns[job], bins[job]) for job in given}, columns, bins))
+            if before is not None:
+                before.unpersist()
+            rows = before = aimed
+            if len(rounds) - done >= KEEP and number + 1 < most:
+                blocks, done = first._kept(_with_margins(blocks, rounds[done:])), len(rounds)
+                rows = blocks.rdd.map(Block)
+    finally:
+        if before is not None:
+            before.unpersist()
+    return [jobs[job][0]._model(spark, [trees[job] for trees in rounds if job in trees], own_cuts) for job, own_cuts in enumerate(cuts)]
+
+
+def _round(rows: RDD, growing: dict[int, Generator], columns: Sequence[Sequence[int]], bins: Sequence[int]) -> dict[int, Tree]:
+    """The next tree of every model that goes on; a job for each level."""
+    made: dict[int, Tree] = {}
+    sums: dict[int, np.ndarray | None] = dict.fromkeys(growing)
+    while sums:
+        asks = {}
+        for job, found in sums.items():
+            try:
+                asks[job] = growing[job].send(found)
+            except StopIteration as end:
+                made[job] = end.value
+        if not asks:
+            break
+        sums = {0: level_sums(rows, asks[0][0], columns[0], bins[0], asks[0][1])} if len(bins) == 1 else part_sums(rows, asks, columns, bins)
+    return made

@@ -14,7 +14,7 @@ hold the rows; of a larger forest the tasks read one block after the other from
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -42,6 +42,7 @@ from scorelake.session import scratch_path
 NODES = "tree int, node int, feature int, cut double, left int, right int, share double, gain double"
 MAX_BAG_ROWS = 0                   # without limit
 PLAIN_ROWS = 100_000               # bags of so many rows are dealt row by row, of more in packed pieces
+SHARED_VALUES = 200_000_000       # feature values dealt at once to forests that grow together
 TASK_VALUES = 12_000_000           # feature values from which a task grows a tree or a part of one: about 700 MB
 BLOCK_NODES = 2_000_000            # 80 MB of nodes
 VALUES_HELD = 4_000_000            # feature values that a task holds while it reads a larger forest
@@ -100,7 +101,10 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, subset: int, least: i
     level keeps the rows in the order of (node, value) by parting each node's rows into left and right."""
     rng = np.random.default_rng(seed)
     n_features = x.shape[1]
-    w0, w1 = weight * (y == 0), weight * (y == 1)
+    both = np.empty(len(y), complex)                         # weights of class 0 and 1, taken from memory together
+    both.real, both.imag = weight * (y == 0), weight * (y == 1)
+    # Sums of whole multiples are exact, so they don't depend on rows of other nodes: these are left out.
+    exact = bool((weight * bags.UNIT == np.rint(weight * bags.UNIT)).all()) and weight.sum() < 1 << 32
     columns: dict[str, list] = {k: [] for k in ("feature", "cut", "left", "right", "share", "gain")}
     rows, node, made, level, ids = np.arange(len(y)), np.zeros(len(y), np.int64), 1, 0, np.zeros(1, np.int64)
     values = np.ascontiguousarray(x.T)
@@ -108,8 +112,7 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, subset: int, least: i
     to_right = np.zeros(len(y), bool)
     while len(ids):
         n = len(ids)
-        t0 = np.bincount(node, w0[rows], n)
-        t1 = np.bincount(node, w1[rows], n)
+        t0, t1 = np.bincount(node, both.real[rows], n), np.bincount(node, both.imag[rows], n)
         total = np.maximum(t0 + t1, 1e-300)
         score = np.full((n_features, n), -np.inf)
         cut = np.zeros((n_features, n))
@@ -120,12 +123,21 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, subset: int, least: i
             some = impure[at]
             at = at[some]
             first = order.argsort(axis=1) < subset
-            for f, v in enumerate(values):
+
+            def sought(f: int, tried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                own, of = orders[f], at
+                if exact:
+                    asked = tried[at]
+                    own, of = own[asked], at[asked]
+                taken = both[own]
+                return best_cuts(values[f][own], of, taken.real, taken.imag, least, n, tried)
+
+            for f in range(n_features):
                 orders[f] = orders[f][some]
-                score[f], cut[f] = best_cuts(v[orders[f]], at, w0[orders[f]], w1[orders[f]], least, n, first[:, f])
+                score[f], cut[f] = sought(f, first[:, f])
             stuck = impure & ~np.isfinite(score).any(axis=0)
-            for f, v in enumerate(values if stuck.any() else []):
-                found = best_cuts(v[orders[f]], at, w0[orders[f]], w1[orders[f]], least, n, stuck & ~first[:, f])
+            for f in range(n_features) if stuck.any() else []:
+                found = sought(f, stuck & ~first[:, f])
                 score[f, stuck], cut[f, stuck] = found[0][stuck], found[1][stuck]
         ranked = np.take_along_axis(score.T, order, axis=1)
         valid = np.isfinite(ranked)
@@ -201,7 +213,7 @@ def large_node_table(rows: DataFrame, n: int, size: int, trees: int, subset: int
             tops = bags.grow_tops(runs, trees, size, subset, least, depth, seed, rate, weights, most)
         finally:
             runs.unpersist()
-    pieces, groups = bags.dealt(rows, trees, seed, rate, tops)
+    pieces, groups = bags.dealt(rows, n, size, [bags.Unit(tree, seed, rate) for tree in range(trees)], tops, task_values)
     starts, made = {}, {}
     for tree, node in groups if tops else []:
         # A part of m rows has fewer than 2m nodes.
@@ -309,26 +321,88 @@ class BaggedForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultParam
         n = sum(counts.values())
         if not n:
             raise ValueError("no rows to fit on")
-        rows = dataset.select("row_id", col(get("labelCol")).cast("int").alias("y"),
-                              vector_to_array(col(get("featuresCol"))).alias("x"))
+        rows = self._rows(dataset)
         size = len(rows.select("x").first()["x"])
-        subsets = {"sqrt": max(1, int(math.sqrt(size))), "log2": max(1, int(math.log2(size))), "all": size}
         path = scratch_path(dataset.sparkSession, "forest")
-        rate = min(1.0, get("maxBagRows") / n) if get("maxBagRows") else 1.0
-        given = (get("numTrees"), subsets[get("featureSubsetStrategy")], get("minInstancesPerNode"), get("maxDepth"), get("seed"), rate,
-                 balanced(counts))
+        rate = self._rate(n)
+        given = (get("numTrees"), self._subset(size), get("minInstancesPerNode"), get("maxDepth"), get("seed"), rate, balanced(counts))
         grown = node_table(rows, *given) if n * rate <= PLAIN_ROWS else large_node_table(rows, n, size, *given)
         grown.write.partitionBy("tree").parquet(path)
         nodes = stored_nodes(dataset.sparkSession, path)
-        # Per tree the gains add up to one, trees count alike.
-        shares = (nodes.where("feature >= 0").groupBy("tree", "feature").agg(F.sum("gain").alias("g")))
-        whole = shares.groupBy("tree").agg(F.sum("g").alias("all")).where("all > 0")
-        found = {r["feature"]: r["v"] for r in shares.join(whole, "tree").groupBy("feature").agg(
-            F.sum(F.col("g") / F.col("all")).alias("v")).collect()}
+        return self._model(path, size, _importances(nodes.withColumn("model", F.lit(0))).get(0, {}), nodes.count())
+
+    def _rows(self, dataset: DataFrame, *more: Column) -> DataFrame:
+        return dataset.select("row_id", col(self.getOrDefault(self.labelCol)).cast("int").alias("y"),
+                              vector_to_array(col(self.getOrDefault(self.featuresCol))).alias("x"), *more)
+
+    def _subset(self, size: int) -> int:
+        subsets = {"sqrt": max(1, int(math.sqrt(size))), "log2": max(1, int(math.log2(size))), "all": size}
+        return subsets[self.getOrDefault(self.featureSubsetStrategy)]
+
+    def _rate(self, n: int) -> float:
+        most = self.getOrDefault(self.maxBagRows)
+        return min(1.0, most / n) if most else 1.0
+
+    def _model(self, path: str, size: int, found: dict[int, float], count: int) -> BaggedForestModel:
         total = sum(found.values()) or 1.0
         return BaggedForestModel(
-            featuresCol=get("featuresCol"), labelCol=get("labelCol"), numTrees=get("numTrees"), nodes=path,
-            importances=[found.get(f, 0.0) / total for f in range(size)], nodeCount=nodes.count())
+            featuresCol=self.getOrDefault(self.featuresCol), labelCol=self.getOrDefault(self.labelCol),
+            numTrees=self.getOrDefault(self.numTrees), nodes=path, importances=[found.get(f, 0.0) / total for f in range(size)], nodeCount=count)
+
+    @staticmethod
+    def fit_many(dataset: DataFrame, parts: Sequence[Column], jobs: Sequence[tuple[BaggedForest, int]]) -> list[BaggedForestModel]:
+        """A model per (forest, place of its part): forests of a search, that share columns. As many grow together as deal at most
+        ``SHARED_VALUES`` feature values; one that deals more is fitted alone."""
+        label = jobs[0][0].getOrDefault(jobs[0][0].labelCol)
+        counts = [class_counts(dataset.where(part), label) for part in parts]
+        if not all(sum(c.values()) for c in counts):
+            raise ValueError("no rows to fit on")
+        within = F.array(*[F.coalesce(part, F.lit(False)) for part in parts]).alias("within")
+        rows = jobs[0][0]._rows(dataset, within)
+        size, n = len(rows.select("x").first()["x"]), max(sum(c.values()) for c in counts)
+        rows = rows.select(bags.as_ids(rows), "y", "x", "within")
+        chunks, filled = [], math.inf
+        for job in jobs:
+            values = n * size * job[0].getOrDefault(job[0].numTrees)
+            if filled + values > SHARED_VALUES:
+                chunks, filled = [*chunks, []], 0
+            chunks[-1].append(job)
+            filled += values
+        return [model for chunk in chunks for model in (
+            [chunk[0][0].fit(dataset.where(parts[chunk[0][1]]))] if len(chunk) == 1 else _grown_together(rows, counts, size, chunk))]
+
+
+def _grown_together(rows: DataFrame, counts: Sequence[dict[float, int]], size: int, jobs: Sequence[tuple[BaggedForest, int]]) -> list[BaggedForestModel]:
+    """Models of small bags, in one deal of the rows."""
+    spark, units, given = rows.sparkSession, [], []
+    for number, (forest, part) in enumerate(jobs):
+        get = lambda name: forest.getOrDefault(getattr(forest, name))  # noqa: B023, E731
+        each = bags.whole_weights(balanced(counts[part]))
+        units += [bags.Unit(tree, get("seed"), forest._rate(sum(counts[part].values())), part) for tree in range(get("numTrees"))]
+        given += [(number, each, forest._subset(size), get("minInstancesPerNode"), get("maxDepth"))] * get("numTrees")
+    pieces, _ = bags.dealt(rows, max(sum(c.values()) for c in counts), size, units, None, TASK_VALUES)
+
+    def grow_unit(unit: int, _: int, x: np.ndarray, y: np.ndarray, times: np.ndarray) -> pa.Table:
+        number, each, *limits = given[unit]
+        found = grow(x.T, y, times * each[y], *limits, units[unit].seed * 1_000_003 + units[unit].tree)
+        nodes = _nodes(units[unit].tree, np.arange(len(found["feature"])), found)
+        return nodes.append_column("model", pa.array(np.full(len(nodes), number), pa.int32()))
+
+    path = scratch_path(spark, "forests")
+    bags.grown(pieces, grow_unit, f"{NODES}, model int").write.partitionBy("model").parquet(path)
+    nodes = spark.read.schema(f"{NODES}, model int").parquet(path)
+    shares, sizes = _importances(nodes), {r["model"]: r["n"] for r in nodes.groupBy("model").agg(F.count("*").alias("n")).collect()}
+    return [forest._model(f"{path}/model={number}", size, shares.get(number, {}), sizes[number]) for number, (forest, _) in enumerate(jobs)]
+
+
+def _importances(nodes: DataFrame) -> dict[int, dict[int, float]]:
+    """Per model a sum for each feature: per tree the gains add up to one, trees count alike."""
+    shares = nodes.where("feature >= 0").groupBy("model", "tree", "feature").agg(F.sum("gain").alias("g"))
+    whole = shares.groupBy("model", "tree").agg(F.sum("g").alias("all")).where("all > 0")
+    out: dict[int, dict[int, float]] = {}
+    for r in shares.join(whole, ["model", "tree"]).groupBy("model", "feature").agg(F.sum(F.col("g") / F.col("all")).alias("v")).collect():
+        out.setdefault(r["model"], {})[r["feature"]] = r["v"]
+    return out
 
 
 class BaggedForestModel(Model, _ForestParams, MLReadable, MLWritable):

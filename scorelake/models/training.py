@@ -144,7 +144,7 @@ def predict(models: Mapping[str, PipelineModel], table: DataFrame, ensemble: boo
             .select("m.model", "row_id", "y", "m.pred", "m.score", *keep))
 
 
-def _by_parts(estimator: Pipeline):
+def by_parts(estimator: Pipeline):
     """The only stage of an estimator, if it fits several parts of a table side by side."""
     stages = estimator.getStages()
     return stages[0] if len(stages) == 1 and hasattr(stages[0], "fit_parts") else None
@@ -159,13 +159,13 @@ def cross_validate(table: DataFrame, estimators: Mapping[str, Pipeline], n_folds
     Fits of many short jobs (boosting, kernel machines) take the folds side by side, in the jobs of one fit.
     """
     scratch_root(table.sparkSession)
-    together = [] if fit_rows is not None else [n for n, e in estimators.items() if _by_parts(e) is not None]
+    together = [] if fit_rows is not None else [n for n, e in estimators.items() if by_parts(e) is not None]
 
     def fit(job):
         f, name = job
         if f is None:
             try:
-                models = _by_parts(estimators[name]).fit_parts(table, [F.col("fold") != f for f in range(n_folds)])
+                models = by_parts(estimators[name]).fit_parts(table, [F.col("fold") != f for f in range(n_folds)])
                 return [(f, name, PipelineModel([m]), None) for f, m in enumerate(models)]
             except Exception:                            # fold by fold, to know which one fails
                 return [found for f in range(n_folds) for found in fit((f, name))]

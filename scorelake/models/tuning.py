@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake import config
-from scorelake.models.training import build, run_fits
+from scorelake.models.training import build, by_parts, run_fits
 from scorelake.session import scratch_root
 
 
@@ -56,29 +56,46 @@ def search(table: DataFrame, name: str, candidates: Sequence[dict], n_folds: int
     """Score every candidate on every fold of ``table`` (column ``fold``), refit the best on all rows.
 
     Candidates that differ in ``maxIter`` alone share the fit with the smallest limit where that fit ended before it.
-    Only accuracies reach the driver. Equal scores keep the order of the candidates.
+    Forests grow together, boosted models side by side, kernel machines take the folds side by side. Only accuracies reach the driver. Equal scores keep the order of the candidates.
     """
     scratch_root(table.sparkSession)
+    many = hasattr(build(name).getStages()[0], "fit_many")
+    together = not many and by_parts(build(name)) is not None
     alike: dict[str, list[int]] = {}
     for c, params in enumerate(candidates):
-        alike.setdefault(json.dumps({k: v for k, v in params.items() if k != "maxIter"}, sort_keys=True), []).append(c)
+        shared = params if together or many else {k: v for k, v in params.items() if k != "maxIter"}
+        alike.setdefault(json.dumps(shared, sort_keys=True), []).append(c)
     groups = [sorted(group, key=lambda c: candidates[c].get("maxIter", 0)) for group in alike.values()]
 
+    unseen = [F.col("fold") != f for f in range(n_folds)]
+
+    def accuracy(model, f):
+        hit = (F.col("prediction") == F.col("y")).cast("double")
+        found = model.transform(table.where(F.col("fold") == f)).agg(F.avg(hit).alias("a")).first()["a"]
+        if found is None:
+            raise ValueError(f"fold {f} has no rows")
+        return found
+
     def score(job):
-        group, f = job
-        found, settled, accuracy = [], False, None
+        group, f, *model = job
+        if many:
+            return [(c, f, accuracy(*model, f)) for c in group]
+        if f is None:
+            return [(c, g, accuracy(model, g)) for c in group
+                    for g, model in enumerate(by_parts(build(name, **candidates[c])).fit_parts(table, unseen))]
+        found, settled, value = [], False, None
         for c in group:
             if not settled:
-                model = build(name, **candidates[c]).fit(table.where(F.col("fold") != f))
-                hit = (F.col("prediction") == F.col("y")).cast("double")
-                accuracy = model.transform(table.where(F.col("fold") == f)).agg(F.avg(hit).alias("a")).first()["a"]
-                if accuracy is None:
-                    raise ValueError(f"fold {f} has no rows")
-                settled = "maxIter" in candidates[c] and _settled(model)
-            found.append((c, f, accuracy))
+                model = build(name, **candidates[c]).fit(table.where(unseen[f]))
+                value, settled = accuracy(model, f), "maxIter" in candidates[c] and _settled(model)
+            found.append((c, f, value))
         return found
 
-    jobs = [(group, f) for group in groups for f in range(n_folds)]
+    folds = [None] if together else range(n_folds)
+    jobs = [(group, f) for group in groups for f in folds]
+    if many:
+        asked = [(build(name, **candidates[c]).getStages()[0], f) for (c,), f in jobs]
+        jobs = [(*job, model) for job, model in zip(jobs, asked[0][0].fit_many(table, unseen, asked))]
     found = {(c, f): a for part in run_fits(table.sparkSession, jobs, score, parallelism) for c, f, a in part}
     scores = []
     for c, params in enumerate(candidates):
@@ -100,11 +117,10 @@ def random_search(table: DataFrame, names: Sequence[str] = tuple(config.PARAM_GR
                   seed: int = config.RANDOM_STATE, grids: Mapping[str, Mapping] | None = None,
                   parallelism: int = 2) -> dict[str, SearchResult | Exception]:
     """Randomized search for several models; a failing model is returned as its exception."""
-    out: dict[str, SearchResult | Exception] = {}
-    for name in names:
-        grid = (grids or {}).get(name, config.PARAM_GRIDS[name])
+    def one(name):
         try:
-            out[name] = search(table, name, sampled_combinations(grid, n_iter, seed), n_folds, parallelism)
+            return search(table, name, sampled_combinations((grids or {}).get(name, config.PARAM_GRIDS[name]), n_iter, seed), n_folds, parallelism)
         except Exception as e:
-            out[name] = e
-    return out
+            return e
+
+    return dict(zip(names, run_fits(table.sparkSession, list(names), one, parallelism)))

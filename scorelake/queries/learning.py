@@ -7,6 +7,7 @@ that only look at a model do not train it again.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -240,8 +241,8 @@ def cross_validate(spark, sf_dir):
 
 
 def _follows():
-    """Scores fall with the position."""
-    return F.col("mean_score") <= F.lag("mean_score", 1, 2.0).over(Window.orderBy("position"))
+    """Scores of a model fall with the position."""
+    return F.col("mean_score") <= F.lag("mean_score", 1, 2.0).over(Window.partitionBy("model").orderBy("position"))
 
 
 @query("grid_search", """
@@ -253,14 +254,18 @@ def grid_search(spark, sf_dir):
     return tuning.grid_search(_folds(spark, sf_dir, 3), "LogisticRegression", parallelism=4).table(spark).select("params", _follows().alias("position_follows_score"))
 
 
-@query("random_search", """
-select 'LogisticRegression' as model, cast(20 as bigint) as candidates, cast(20 as bigint) as different, true as position_follows_score""")
+@query("random_search", f"""
+select model, cast(20 as bigint) as candidates, cast(20 as bigint) as different, true as position_follows_score
+from (select unnest({training.MODEL_NAMES}) as model) m""")
 def random_search(spark, sf_dir):
-    """Twenty of the 36 combinations for the logistic regression."""
-    found = tuning.random_search(_folds(spark, sf_dir, 3), ["LogisticRegression"], n_iter=20, parallelism=4)
-    rows = found["LogisticRegression"].table(spark).withColumn("follows", _follows())
-    return rows.agg(F.count("*").alias("candidates"), F.count_distinct("params").alias("different"),
-                    F.bool_and("follows").alias("position_follows_score")).select(F.lit("LogisticRegression").alias("model"), "*")
+    """Twenty combinations for each of the models."""
+    found = tuning.random_search(_folds(spark, sf_dir, 3), n_iter=20, parallelism=4)
+    failed = {name: str(e) for name, e in found.items() if isinstance(e, Exception)}
+    if failed:
+        raise RuntimeError(f"search failed: {failed}")
+    rows = reduce(DataFrame.unionByName, [result.table(spark) for result in found.values()]).withColumn("follows", _follows())
+    return rows.groupBy("model").agg(F.count("*").alias("candidates"), F.count_distinct("params").alias("different"),
+                                     F.bool_and("follows").alias("position_follows_score"))
 
 
 @query("train_cv")

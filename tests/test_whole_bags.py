@@ -110,9 +110,10 @@ def test_no_task_grows_from_more_rows_than_it_may(spark, monkeypatch):
     runs = bags.sorted_runs(rows.select(bags.as_ids(rows), "y", "x"), 4, 600)
     assert all(len(ys) <= 300 for ys in runs.map(lambda r: r.y).collect())
     tops = bags.grow_tops(runs, 5, 4, 2, 1, 0, 3, 1.0, {}, 50)
-    pieces, groups = bags.dealt(rows.select(bags.as_ids(rows), "y", "x"), 5, 3, 1.0, tops)
-    found = pieces.groupBy("tree", "node").agg(F.sum(F.length("c")).alias("n"), F.count_distinct("part").alias("parts")).collect()
-    assert {(r.tree, r.node): r.n for r in found} == {(t, k): n for t, top in enumerate(tops) for k, n in top.ready.items()}
+    units = [bags.Unit(tree, 3, 1.0) for tree in range(5)]
+    pieces, groups = bags.dealt(rows.select(bags.as_ids(rows), "y", "x"), 600, 4, units, tops, 200)
+    found = pieces.groupBy("unit", "node").agg(F.sum(F.length("c")).alias("n"), F.count_distinct("part").alias("parts")).collect()
+    assert {(r.unit, r.node): r.n for r in found} == {(t, k): n for t, top in enumerate(tops) for k, n in top.ready.items()}
     assert max(r.n for r in found) <= 50 and {r.parts for r in found} == {1} and len(groups) == len(found) > 5
 
 
