@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake import config
-from scorelake.models.training import build, by_parts, run_fits
+from scorelake.models.training import build, by_parts, registry, run_fits
 from scorelake.session import scratch_root
 
 
@@ -56,17 +56,18 @@ def search(table: DataFrame, name: str, candidates: Sequence[dict], n_folds: int
     """Score every candidate on every fold of ``table`` (column ``fold``), refit the best on all rows.
 
     Candidates that differ in ``maxIter`` alone share the fit with the smallest limit where that fit ended before it.
-    Forests grow together, boosted models side by side, kernel machines take the folds side by side. Only accuracies reach the driver. Equal scores keep the order of the candidates.
+    Forests grow together, boosted models side by side, kernel machines take the folds side by side. Only accuracies
+    reach the driver. Equal scores keep the order of the candidates.
     """
     scratch_root(table.sparkSession)
-    many = hasattr(build(name).getStages()[0], "fit_many")
-    together = not many and by_parts(build(name)) is not None
+    kind = registry([name])[name]
+    many = hasattr(kind.getStages()[0], "fit_many")
+    together = not many and by_parts(kind) is not None
     alike: dict[str, list[int]] = {}
     for c, params in enumerate(candidates):
         shared = params if together or many else {k: v for k, v in params.items() if k != "maxIter"}
         alike.setdefault(json.dumps(shared, sort_keys=True), []).append(c)
     groups = [sorted(group, key=lambda c: candidates[c].get("maxIter", 0)) for group in alike.values()]
-
     unseen = [F.col("fold") != f for f in range(n_folds)]
 
     def accuracy(model, f):
@@ -94,7 +95,7 @@ def search(table: DataFrame, name: str, candidates: Sequence[dict], n_folds: int
     folds = [None] if together else range(n_folds)
     jobs = [(group, f) for group in groups for f in folds]
     if many:
-        asked = [(build(name, **candidates[c]).getStages()[0], f) for (c,), f in jobs]
+        asked = [(build(name, **candidates[c]).getStages()[0], f) for (c, *_), f in jobs]
         jobs = [(*job, model) for job, model in zip(jobs, asked[0][0].fit_many(table, unseen, asked))]
     found = {(c, f): a for part in run_fits(table.sparkSession, jobs, score, parallelism) for c, f, a in part}
     scores = []

@@ -77,8 +77,9 @@ def test_forests_of_a_search_grow_from_their_own_rows(folded, monkeypatch):
 
 
 def test_search_scores_are_those_of_fits_one_by_one(folded):
-    candidates = [dict(maxIter=4, maxDepth=2), dict(maxIter=9, maxDepth=3)]
+    candidates = [dict(maxIter=4, maxDepth=2), dict(maxIter=9, maxDepth=3), dict(maxIter=4, maxDepth=2)]
     found = tuning.search(folded, "GradientBoosting", candidates)
+    assert len(found.scores) == 3
     for s in found.scores:
         values = []
         for f in range(3):
